@@ -159,6 +159,12 @@ EVENT_REQUIRED_FIELDS = (
     "traceId",
     "userId",
 )
+BALANCE_FIELDS = (
+    "oldBalanceOrig",
+    "newBalanceOrig",
+    "oldBalanceDest",
+    "newBalanceDest",
+)
 LABEL_REQUIRED_FIELDS = (
     "eventId",
     "isFraud",
