@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ledgerwatch.functions.text import strip
 
-# sign, integer digits, fraction digits, exponent
-_DECIMAL = r"^([+-]?)(\d*)(?:\.(\d*))?(?:[eE]([+-]?\d{1,3}))?$"
-_HAS_DIGIT = r"^[+-]?(?:\d|\.\d)"
+# A plain number with at least one digit; NaN, Infinity, hex and exponents do not match.
+_PLAIN = r"^[+-]?(?=\d|\.\d)\d*\.?\d*$"
+_EXPONENT = r"[eE](.+)$"
+_WIDE = "decimal(38,18)"
+_WIDE_SCALE = 18
 
 
 def _cleaned(value: Column) -> Column:
@@ -17,9 +19,10 @@ def _cleaned(value: Column) -> Column:
 
 
 def is_decimal_text(value: Column) -> Column:
-    """A finite decimal number (NaN, Infinity, hex and NULL are not)."""
+    """A finite decimal number. Plain numbers may have any length; the exponent form must fit
+    38 digits."""
     text = _cleaned(value)
-    return F.coalesce(text.rlike(_DECIMAL) & text.rlike(_HAS_DIGIT), F.lit(False))
+    return F.coalesce(text.rlike(_PLAIN) | text.try_cast(_WIDE).isNotNull(), F.lit(False))
 
 
 def is_negative_text(value: Column) -> Column:
@@ -33,35 +36,19 @@ def is_zero_text(value: Column) -> Column:
 
 def plain_decimal(value: Column) -> Column:
     """Plain notation with the scale of the input kept: ``170136.00`` stays ``170136.00``,
-    ``1.50e1`` becomes ``15.0``. Only meaningful where ``is_decimal_text`` holds."""
+    ``+.5`` becomes ``0.5``, ``1.50e1`` becomes ``15.0``. Only meaningful where
+    ``is_decimal_text`` holds."""
     text = _cleaned(value)
-    sign = F.when(text.startswith("-"), F.lit("-")).otherwise(F.lit(""))
-    whole = F.regexp_extract(text, _DECIMAL, 2)
-    fraction = F.regexp_extract(text, _DECIMAL, 3)
-    exponent = F.regexp_extract(text, _DECIMAL, 4).try_cast("int")
-    no_zeros = F.ltrim(whole, F.lit("0"))
-    simple = F.concat(
-        F.when(no_zeros == "", F.lit("0")).otherwise(no_zeros),
-        F.when(fraction == "", F.lit("")).otherwise(F.concat(F.lit("."), fraction)),
-    )
-    # Exponent form: move the point inside the digit string.
-    digits = F.concat(whole, fraction)
-    point = F.length(whole) + exponent
-    padded = F.concat(
-        F.repeat(F.lit("0"), F.greatest(F.lit(1) - point, F.lit(0))),
-        digits,
-        F.repeat(F.lit("0"), F.greatest(point - F.length(digits), F.lit(0))),
-    )
-    cut = F.greatest(point, F.lit(1))
-    moved_whole = F.ltrim(F.substr(padded, F.lit(1), cut), F.lit("0"))
-    moved_fraction = F.substr(padded, cut + 1)
-    shifted = F.concat(
-        F.when(moved_whole == "", F.lit("0")).otherwise(moved_whole),
-        F.when(moved_fraction == "", F.lit("")).otherwise(
-            F.concat(F.lit("."), moved_fraction)
-        ),
-    )
-    return F.concat(sign, F.when(exponent.isNull(), simple).otherwise(shifted))
+    # Leading plus and zeros go, a bare point gets its zero, a trailing point goes.
+    simple = F.regexp_replace(text, r"^\+?(-?)0*(?=\d)|\.$|^\+(?=\.)", "$1")
+    simple = F.regexp_replace(simple, r"^(?<sign>-?)(?=\.)", "${sign}0")
+    exponent = F.regexp_extract(text, _EXPONENT, 1).try_cast("int")
+    decimals = F.length(F.regexp_extract(text, r"\.(\d*)", 1))
+    scale = F.greatest(decimals - exponent, F.lit(0))
+    wide = text.try_cast(_WIDE).cast("string")
+    point = F.when(scale == 0, F.lit(1)).otherwise(F.lit(0))
+    moved = F.substr(wide, F.lit(1), F.length(wide) - _WIDE_SCALE + scale - point)
+    return F.when(exponent.isNull(), simple).otherwise(moved)
 
 
 def strict_int(value: Column) -> Column:

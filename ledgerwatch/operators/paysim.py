@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,11 +40,23 @@ BALANCES = (
 
 @dataclass(frozen=True)
 class Prepared:
-    """Three filters of one tagged plan."""
+    """Three filters of one tagged plan, each built when it is first asked for."""
 
-    events: DataFrame
-    labels: DataFrame
-    rejected: DataFrame
+    tagged: DataFrame
+    base_time: str = BASE_TIME
+    salt: str = LOCAL_SALT
+
+    @cached_property
+    def events(self) -> DataFrame:
+        return events_of(self.tagged, self.base_time, self.salt)
+
+    @cached_property
+    def labels(self) -> DataFrame:
+        return labels_of(self.tagged)
+
+    @cached_property
+    def rejected(self) -> DataFrame:
+        return rejects_of(self.tagged)
 
 
 def _checks() -> list[tuple[Column, Column | str, Column | str]]:
@@ -52,7 +65,7 @@ def _checks() -> list[tuple[Column, Column | str, Column | str]]:
     step = strict_int(F.col("step"))
     checks: list[tuple[Column, Column | str, Column | str]] = [
         (step.isNull(), "INVALID_STEP", "step must be an integer"),
-        (step < 0, "INVALID_STEP", "step must be >= 0"),
+        (is_negative_text(F.col("step")), "INVALID_STEP", "step must be >= 0"),
         (
             ~F.coalesce(native.isin(*NATIVE_TYPES), F.lit(False)),
             "INVALID_TYPE",
@@ -92,29 +105,25 @@ def _checks() -> list[tuple[Column, Column | str, Column | str]]:
     return checks
 
 
-def tag_rows(raw: DataFrame) -> DataFrame:
-    """Raw rows (with ``row_number``) plus the type mapping and ``reject_reason`` /
-    ``reject_message``, both NULL for an acceptable row."""
+def normalize_paysim(raw: DataFrame, fail_fast: bool = False) -> DataFrame:
+    """Tagged plan: the raw row (with ``row_number``), its type mapping, and
+    ``reject_reason`` / ``reject_message``, both NULL for an acceptable row. ``fail_fast``
+    fails the job on a rejected row instead of keeping it.
+
+    The checks are one CASE that yields the position of the first failure; reason and message
+    are looked up by it, so each row is checked once.
+    """
     mapped = map_native_type(raw, "type")
     checks = _checks()
-    return mapped.withColumns(
-        {
-            "reject_reason": first_reason(*[(f, r) for f, r, _ in checks]),
-            "reject_message": first_reason(*[(f, m) for f, _, m in checks]),
-        }
+    fault = first_reason(*[(f, F.lit(i)) for i, (f, _, _) in enumerate(checks, start=1)])
+    reasons = F.array(*[_as_column(r) for _, r, _ in checks])
+    messages = F.array(*[_as_column(m) for _, _, m in checks])
+    tagged = mapped.withColumn("__fault", fault)
+    tagged = tagged.select(
+        *mapped.columns,
+        F.get(reasons, F.col("__fault") - 1).alias("reject_reason"),
+        F.get(messages, F.col("__fault") - 1).alias("reject_message"),
     )
-
-
-def normalize_paysim(
-    raw: DataFrame,
-    base_time: str = BASE_TIME,
-    salt: str = LOCAL_SALT,
-    fail_fast: bool = False,
-) -> DataFrame:
-    """Tagged plan: row_number, raw_type, reject_reason, reject_message, ``event`` and
-    ``label`` structs (NULL on rejected rows). ``fail_fast`` fails the job on the first
-    rejected row instead of keeping it."""
-    tagged = tag_rows(raw)
     if fail_fast:
         message = F.concat_ws(
             ": ",
@@ -127,21 +136,36 @@ def normalize_paysim(
                 F.raise_error(message).cast("boolean")
             )
         )
-    good = F.col("reject_reason").isNull()
-    step = strict_int(F.col("step"))
+    return tagged
+
+
+def _as_column(value: Column | str) -> Column:
+    return F.lit(value) if isinstance(value, str) else value
+
+
+def _sequence() -> Column:
     number = F.col("row_number").cast("string")
-    sequence = F.when(F.length(number) >= 9, number).otherwise(F.lpad(number, 9, "0"))
-    event_id = F.concat(F.lit("paysim-"), sequence)
-    origin = pseudonym(F.col("nameOrig"), salt)
+    return F.when(F.length(number) >= 9, number).otherwise(F.lpad(number, 9, "0"))
+
+
+def events_of(
+    tagged: DataFrame, base_time: str = BASE_TIME, salt: str = LOCAL_SALT
+) -> DataFrame:
+    """Events of the acceptable rows. Names only leave as keyed pseudonyms."""
+    step = strict_int(F.col("step"))
     event_time = F.timestamp_add("HOUR", step, F.to_timestamp(F.lit(base_time)))
+    good = tagged.filter(F.col("reject_reason").isNull()).select(
+        "*",
+        pseudonym(F.col("nameOrig"), salt).alias("__origin"),
+        pseudonym(F.col("nameDest"), salt).alias("__destination"),
+    )
     normalized = F.col("normalized_type")
-    event = F.struct(
-        event_id.alias("eventId"),
-        F.concat(F.lit("U-"), origin).alias("userId"),
-        F.concat(F.lit("A-"), origin).alias("accountId"),
-        F.concat(F.lit("D-"), pseudonym(F.col("nameDest"), salt)).alias(
-            "destinationAccountId"
-        ),
+    return good.select(
+        "row_number",
+        F.concat(F.lit("paysim-"), _sequence()).alias("eventId"),
+        F.concat(F.lit("U-"), F.col("__origin")).alias("userId"),
+        F.concat(F.lit("A-"), F.col("__origin")).alias("accountId"),
+        F.concat(F.lit("D-"), F.col("__destination")).alias("destinationAccountId"),
         normalized.alias("eventType"),
         F.col("type").alias("nativeEventType"),
         normalized.alias("normalizedEventType"),
@@ -150,7 +174,7 @@ def normalize_paysim(
         plain_decimal(F.col("amount")).alias("amount"),
         F.lit(CURRENCY).alias("currency"),
         iso_seconds(event_time).alias("eventTime"),
-        F.concat(F.lit("trace-paysim-"), sequence).alias("traceId"),
+        F.concat(F.lit("trace-paysim-"), _sequence()).alias("traceId"),
         F.lit(PAYSIM_SCHEMA_VERSION).alias("schemaVersion"),
         F.lit(PAYSIM_SOURCE).alias("source"),
         F.struct(
@@ -158,38 +182,30 @@ def normalize_paysim(
             *[plain_decimal(F.col(rawname)).alias(out) for rawname, out in BALANCES],
         ).alias("balanceFeatures"),
     )
-    label = F.struct(
-        event_id.alias("eventId"),
+
+
+def labels_of(tagged: DataFrame) -> DataFrame:
+    """Label sidecar of the acceptable rows."""
+    return tagged.filter(F.col("reject_reason").isNull()).select(
+        "row_number",
+        F.concat(F.lit("paysim-"), _sequence()).alias("eventId"),
         strict_flag(F.col("isFraud")).alias("isFraud"),
         strict_flag(F.col("isFlaggedFraud")).alias("sourceFlaggedFraud"),
-        step.alias("sourceStep"),
+        strict_int(F.col("step")).alias("sourceStep"),
         F.col("type").alias("sourceType"),
-        normalized.alias("normalizedType"),
+        F.col("normalized_type").alias("normalizedType"),
         F.col("support_level").alias("typeSupportLevel"),
         F.lit(MAPPING_VERSION).alias("typeMappingPolicyVersion"),
     )
-    return tagged.select(
-        "row_number",
-        F.col("type").alias("raw_type"),
-        "reject_reason",
-        "reject_message",
-        F.when(good, event).alias("event"),
-        F.when(good, label).alias("label"),
-    )
 
 
-def split_prepared(tagged: DataFrame) -> Prepared:
-    good = tagged.filter(F.col("reject_reason").isNull())
-    bad = tagged.filter(F.col("reject_reason").isNotNull())
-    return Prepared(
-        events=good.select("row_number", "event.*"),
-        labels=good.select("row_number", "label.*"),
-        rejected=bad.select(
-            F.col("row_number").alias("rowNumber"),
-            F.col("reject_reason").alias("reason"),
-            F.col("raw_type").alias("rawType"),
-            F.col("reject_message").alias("message"),
-        ),
+def rejects_of(tagged: DataFrame) -> DataFrame:
+    """Reject records. They never carry raw identifiers."""
+    return tagged.filter(F.col("reject_reason").isNotNull()).select(
+        F.col("row_number").alias("rowNumber"),
+        F.col("reject_reason").alias("reason"),
+        F.col("type").alias("rawType"),
+        F.col("reject_message").alias("message"),
     )
 
 
@@ -199,8 +215,12 @@ def scoring_columns(events: DataFrame) -> DataFrame:
         F.col("eventId").alias("event_id"),
         F.col("userId").alias("user_id"),
         F.col("nativeEventType").alias("native_type"),
-        F.col("amount").cast("decimal(19,2)").alias("amount"),
-        F.col("balanceFeatures.oldBalanceOrig").cast("decimal(19,2)").alias("old_balance"),
-        F.col("balanceFeatures.newBalanceOrig").cast("decimal(19,2)").alias("new_balance"),
-        F.to_timestamp("eventTime").alias("event_time"),
+        F.col("amount").try_cast("decimal(19,2)").alias("amount"),
+        F.col("balanceFeatures.oldBalanceOrig")
+        .try_cast("decimal(19,2)")
+        .alias("old_balance"),
+        F.col("balanceFeatures.newBalanceOrig")
+        .try_cast("decimal(19,2)")
+        .alias("new_balance"),
+        F.try_to_timestamp("eventTime").alias("event_time"),
     )

@@ -31,11 +31,11 @@ def prepare_counts(tagged: DataFrame) -> DataFrame:
         mark("totalRows", rows),
         mark("acceptedRows", rows, good),
         mark("rejectedRows", rows, ~good),
-        mark("fraudRows", rows, F.col("label.isFraud")),
-        mark("flaggedFraudRows", rows, F.col("label.sourceFlaggedFraud")),
-        mark("eventTypeCounts", F.col("event.nativeEventType"), good),
-        mark("normalizedTypeDistribution", F.col("event.normalizedEventType"), good),
-        mark("typeSupportLevelDistribution", F.col("event.typeSupportLevel"), good),
+        mark("fraudRows", rows, good & (F.col("isFraud") == "1")),
+        mark("flaggedFraudRows", rows, good & (F.col("isFlaggedFraud") == "1")),
+        mark("eventTypeCounts", F.col("type"), good),
+        mark("normalizedTypeDistribution", F.col("normalized_type"), good),
+        mark("typeSupportLevelDistribution", F.col("support_level"), good),
         mark(
             "excludedByType",
             F.regexp_replace(reason, "^[^:]*:", ""),

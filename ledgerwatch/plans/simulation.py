@@ -11,14 +11,13 @@ from ledgerwatch.operators.paysim import (
     Prepared,
     normalize_paysim,
     scoring_columns,
-    split_prepared,
 )
 from ledgerwatch.operators.replay import validate_replay
 from ledgerwatch.operators.rules import RuleSet, balance_rules, score_events
 
 
 def prepare(raw: DataFrame, salt: str = LOCAL_SALT) -> Prepared:
-    return split_prepared(normalize_paysim(raw, salt=salt))
+    return Prepared(normalize_paysim(raw), salt=salt)
 
 
 def score_prepared(events: DataFrame, rule_set: RuleSet | None = None) -> DataFrame:

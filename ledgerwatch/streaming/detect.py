@@ -109,7 +109,6 @@ def store_batch(
 
 def detect(
     events: DataFrame,
-    rule_set: RuleSet | None = None,
     stateful: bool = True,
     config: StateConfig | None = None,
 ) -> DataFrame:
@@ -140,7 +139,7 @@ def detect_stream(
     the batch: at least once, made effectively once by the sinks.
     """
     rule_set = rule_set or baseline_rules()
-    answered = detect(events, rule_set, stateful, config)
+    answered = detect(events, stateful, config)
 
     def store(batch: DataFrame, _: int) -> None:
         store_batch(batch, sinks, rule_set, stateful, final_status=final_status)
