@@ -157,6 +157,13 @@ def windowed(source: str, window_ms: int = DAY) -> str:
 
 _cte("plain_windowed", ("once",), "SELECT *, false AS degraded FROM (" + windowed("once") + ")")
 _cte("flagship", ("plain_windowed",), _score("plain_windowed"))
+# ``events`` arrives in event-time order, so the stream's arrival window is the trailing one.
+_cte(
+    "streamed_marked",
+    ("accepted",),
+    "SELECT *, false AS degraded FROM (" + windowed("accepted", 300_000) + ")",
+)
+_cte("streamed", ("streamed_marked",), _score("streamed_marked"))
 _cte(
     "marked",
     ("once",),

@@ -594,7 +594,12 @@ def routed(spark, sf_dir):
     )
 
 
-@check("stream_detect")
+@check(
+    "stream_detect",
+    ("streamed",),
+    """SELECT event_id, user_id, risk_score, risk_level, matched_rules,
+         'rule-v2-baseline-v1' AS rule_version FROM streamed""",
+)
 def stream_detect(spark, sf_dir):
     """The detection stream over all transactions, run to the end; returns stored results."""
     folder = f"{ensure_checkpoint_dir(spark)}/stream_detect-{uuid.uuid4().hex}"

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -50,6 +52,29 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@contextmanager
+def keyed_state_settings(spark: SparkSession) -> Iterator[None]:
+    """Settings a query with keyed state must be started under (a query keeps the settings
+    it was started with).
+
+    Several state maps need the RocksDB store. State with a wall-clock life would also ask
+    for empty micro-batches for ever, so that a run over the available data would not end;
+    entries past their life are dropped with the next data instead.
+    """
+    wanted = {
+        "spark.sql.streaming.stateStore.providerClass": ROCKSDB_PROVIDER,
+        "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+    }
+    before = {key: spark.conf.get(key) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder: the cluster's ``spark.checkpoint.dir`` when it names one.
 

@@ -13,6 +13,7 @@ from ledgerwatch.operators.replay import to_replay_request, validate_replay
 from ledgerwatch.operators.rules import RuleSet, baseline_rules, score_events
 from ledgerwatch.operators.sampling import limit_rows
 from ledgerwatch.schemas import FRAUD_RESULT, PROCESSING_LOG, SOURCE_POSITION
+from ledgerwatch.session import keyed_state_settings
 from ledgerwatch.sources.idempotent import append_once
 from ledgerwatch.streaming.arrival_state import StateConfig, arrival_window_stream
 
@@ -151,7 +152,8 @@ def detect_stream(
     )
     if available_now:
         writer = writer.trigger(availableNow=True)
-    return writer.start()
+    with keyed_state_settings(events.sparkSession):
+        return writer.start()
 
 
 def replay_stream(
