@@ -19,7 +19,7 @@ from ledgerwatch.operators.rules import baseline_rules, score_events
 from ledgerwatch.operators.windows import first_wins
 from ledgerwatch.plans.detection import take_in
 from ledgerwatch.plans.simulation import score_prepared
-from ledgerwatch.session import use_utc
+from ledgerwatch.session import prepare_session
 
 DAY_MS = 24 * 60 * 60 * 1000
 TOPIC = "transaction-events"
@@ -42,7 +42,7 @@ def one_plan(build: Callable) -> Callable:
 
 @one_plan
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    use_utc(spark)
+    prepare_session(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

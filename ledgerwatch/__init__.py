@@ -1,5 +1,5 @@
 """Transaction-fraud detection and evaluation as Spark DataFrame transforms."""
 
-from ledgerwatch.session import build_session, use_utc
+from ledgerwatch.session import build_session, prepare_session
 
-__all__ = ["build_session", "use_utc"]
+__all__ = ["build_session", "prepare_session"]

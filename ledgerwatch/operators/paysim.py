@@ -107,8 +107,8 @@ def _checks() -> list[tuple[Column, Column | str, Column | str]]:
 
 def normalize_paysim(raw: DataFrame, fail_fast: bool = False) -> DataFrame:
     """Tagged plan: the raw row (with ``row_number``), its type mapping, and
-    ``reject_reason`` / ``reject_message``, both NULL for an acceptable row. ``fail_fast``
-    fails the job on a rejected row instead of keeping it.
+    ``reject_position`` / ``reject_reason`` / ``reject_message``, all NULL for an acceptable
+    row. ``fail_fast`` fails the job on a rejected row instead of keeping it.
 
     The checks are one CASE that yields the position of the first failure; reason and message
     are looked up by it, so each row is checked once.
@@ -118,11 +118,12 @@ def normalize_paysim(raw: DataFrame, fail_fast: bool = False) -> DataFrame:
     fault = first_reason(*[(f, F.lit(i)) for i, (f, _, _) in enumerate(checks, start=1)])
     reasons = F.array(*[_as_column(r) for _, r, _ in checks])
     messages = F.array(*[_as_column(m) for _, _, m in checks])
-    tagged = mapped.withColumn("__fault", fault)
-    tagged = tagged.select(
-        *mapped.columns,
-        F.get(reasons, F.col("__fault") - 1).alias("reject_reason"),
-        F.get(messages, F.col("__fault") - 1).alias("reject_message"),
+    position = F.col("reject_position")
+    tagged = mapped.withColumn("reject_position", fault).withColumns(
+        {
+            "reject_reason": F.get(reasons, position - 1),
+            "reject_message": F.get(messages, position - 1),
+        }
     )
     if fail_fast:
         message = F.concat_ws(
@@ -154,7 +155,7 @@ def events_of(
     """Events of the acceptable rows. Names only leave as keyed pseudonyms."""
     step = strict_int(F.col("step"))
     event_time = F.timestamp_add("HOUR", step, F.to_timestamp(F.lit(base_time)))
-    good = tagged.filter(F.col("reject_reason").isNull()).select(
+    good = tagged.filter(F.col("reject_position").isNull()).select(
         "*",
         pseudonym(F.col("nameOrig"), salt).alias("__origin"),
         pseudonym(F.col("nameDest"), salt).alias("__destination"),
@@ -186,7 +187,7 @@ def events_of(
 
 def labels_of(tagged: DataFrame) -> DataFrame:
     """Label sidecar of the acceptable rows."""
-    return tagged.filter(F.col("reject_reason").isNull()).select(
+    return tagged.filter(F.col("reject_position").isNull()).select(
         "row_number",
         F.concat(F.lit("paysim-"), _sequence()).alias("eventId"),
         strict_flag(F.col("isFraud")).alias("isFraud"),
@@ -201,7 +202,7 @@ def labels_of(tagged: DataFrame) -> DataFrame:
 
 def rejects_of(tagged: DataFrame) -> DataFrame:
     """Reject records. They never carry raw identifiers."""
-    return tagged.filter(F.col("reject_reason").isNotNull()).select(
+    return tagged.filter(F.col("reject_position").isNotNull()).select(
         F.col("row_number").alias("rowNumber"),
         F.col("reject_reason").alias("reason"),
         F.col("type").alias("rawType"),

@@ -19,7 +19,7 @@ from ledgerwatch.config import (
 
 def prepare_counts(tagged: DataFrame) -> DataFrame:
     """(section, item, n) of a tagged preparation plan, in one aggregation."""
-    good = F.col("reject_reason").isNull()
+    good = F.col("reject_position").isNull()
     reason = F.col("reject_reason")
 
     def mark(section: str, item: Column, when: Column | None = None) -> Column:

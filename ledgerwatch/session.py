@@ -14,6 +14,12 @@ ROCKSDB_PROVIDER = (
 )
 
 
+RUNTIME_SETTINGS = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+}
+
+
 def build_session(
     app_name: str = "ledgerwatch",
     master: str | None = None,
@@ -29,7 +35,7 @@ def build_session(
     if master:
         builder = builder.master(master)
     settings = {
-        "spark.sql.session.timeZone": "UTC",
+        **RUNTIME_SETTINGS,
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -45,10 +51,13 @@ def build_session(
     return builder.getOrCreate()
 
 
-def use_utc(spark: SparkSession) -> SparkSession:
-    """The data model keeps every timestamp in UTC, so the session must agree."""
-    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+def prepare_session(spark: SparkSession) -> SparkSession:
+    """Settings a given session must have: UTC, as the data model keeps every timestamp in
+    UTC, and a method size the JVM still compiles (larger generated methods are interpreted,
+    which costs more than leaving whole-stage generation for that stage)."""
+    for key, value in RUNTIME_SETTINGS.items():
+        if spark.conf.get(key) != value:
+            spark.conf.set(key, value)
     return spark
 
 

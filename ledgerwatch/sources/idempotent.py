@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ledgerwatch.operators.windows import first_wins
 from ledgerwatch.sources.files import path_exists
 
 
-def stored(spark, target: str) -> DataFrame | None:
+def stored(spark: SparkSession, target: str) -> DataFrame | None:
     """The rows already in the target, or None before the first append."""
     return spark.read.parquet(target) if path_exists(spark, target) else None
 
@@ -42,14 +41,15 @@ def append_once(
     keys: list[str],
     order: list[str],
     partition_by: list[str] | None = None,
-) -> DataFrame:
-    """Append the new rows to a parquet target and return them (persisted; the caller
-    unpersists). Running the same batch again appends nothing. One writer per target."""
-    spark = batch.sparkSession
-    fresh = new_rows(batch, stored(spark, target), keys, order)
-    fresh = fresh.persist(StorageLevel.MEMORY_AND_DISK)
+) -> None:
+    """Append the new rows to a parquet target. Running the same batch again appends nothing.
+    One writer per target.
+
+    The appended rows are not handed back: a plan that reads the target sees the new files
+    after the write. Take ``new_rows`` and checkpoint it where they are needed as well.
+    """
+    fresh = new_rows(batch, stored(batch.sparkSession, target), keys, order)
     writer = fresh.write.mode("append")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(target)
-    return fresh

@@ -92,7 +92,7 @@ def store_batch(
     batch.persist()
     try:
         logs = processing_logs(batch, group, final_status, now)
-        append_once(logs, sinks.logs, position, position).unpersist()
+        append_once(logs, sinks.logs, position, position)
         fresh = batch.filter(~F.col("duplicate"))
         good, failed = route_failures(fresh)
         scored = score_events(good, rule_set, stateful=stateful).withColumn(
@@ -100,10 +100,10 @@ def store_batch(
         )
         wanted = FRAUD_RESULT.fieldNames()
         results = scored.select(*wanted, *position[1:])
-        append_once(results, sinks.results, ["event_id"], position[1:]).unpersist()
+        append_once(results, sinks.results, ["event_id"], position[1:])
         dead = to_dead_letters(failed, RULE_STAGE, now)
         keys = ["source_topic", "source_partition", "source_offset"]
-        append_once(dead, sinks.dead_letters, keys, keys).unpersist()
+        append_once(dead, sinks.dead_letters, keys, keys)
     finally:
         batch.unpersist()
 
