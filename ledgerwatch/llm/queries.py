@@ -4,18 +4,151 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ledgerwatch.llm.blockjoin import nearest
 from ledgerwatch.llm.common import table
+from ledgerwatch.llm.crf import personal_data
+from ledgerwatch.llm.decontam import contamination
+from ledgerwatch.llm.langid import held_out, identify_languages
 from ledgerwatch.llm.minhash import near_duplicates
+from ledgerwatch.llm.mixing import mix_sources
+from ledgerwatch.llm.tokenstore import token_store
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
+TOKENIZER = "word_bpe_49k.json"
+END_ID = 1
+
+
+def joined_spans(spans: str) -> Column:
+    """kind:start:end of each span, joined by commas."""
+    return F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ","
+    )
+
+
+def hex_sha256(text: Column) -> Column:
+    return F.sha2(F.encode(text, "utf-8"), 256)
+
+
+def spans_of_kind(spans: str, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labelled = docs.where(~held_out()).select("doc_id", "text", "lang")
+    return identify_languages(docs, labelled).select(
+        "doc_id", held_out().alias("held_out"), "lang_pred", "score", "gap", "ambiguous"
+    )
+
+
+def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return token_store(docs, public_tokenizers.path(TOKENIZER), END_ID)
+
+
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, QueryFn] = {"op4_near_duplicates": op4_near_duplicates}
+def op6_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        hex_sha256(F.array_join("items", ",")).alias("items_sha256"),
+        "contaminated",
+    )
+
+
+def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        *[spans_of_kind("base", k).alias(f"n_{k}") for k in ("email", "ip", "card", "phone")],
+        hex_sha256(joined_spans("base")).alias("base_sha256"),
+        joined_spans("spans").alias("spans"),
+    )
+
+
+QUERIES: dict[str, QueryFn] = {
+    "op1_language_id": op1_language_id,
+    "op2_token_store": op2_token_store,
+    "op3_nearest": op3_nearest,
+    "op4_near_duplicates": op4_near_duplicates,
+    "op6_contamination": op6_contamination,
+    "op8_mix": op8_mix,
+    "op9_personal_data": op9_personal_data,
+}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    # Cosines of all query and candidate pairs, in double precision.
+    "op3_nearest": """
+        WITH v AS (
+            SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        s AS (
+            SELECT q.vec_id AS query_id, c.vec_id,
+                   list_cosine_similarity(q.e, c.e) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
+            WHERE q.vec_id % 50 = 0),
+        r AS (
+            SELECT *, row_number() OVER (
+                PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+        FROM r WHERE rank <= 5""",
+    # Windows of 13 words, or whole shorter items, as joined words.
+    "op6_contamination": r"""
+        WITH b AS (
+            SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM benchmark WHERE text IS NOT NULL),
+        wins AS (
+            SELECT DISTINCT item_id, least(len(w), 13) AS n,
+                   array_to_string(list_slice(w, i, i + least(len(w), 13) - 1), ' ') AS win
+            FROM (SELECT *, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i
+                  FROM b WHERE len(w) > 0)),
+        d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        sizes AS (SELECT DISTINCT n FROM wins),
+        places AS (
+            SELECT doc_id, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') AS win
+            FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i
+                  FROM d, sizes WHERE len(w) >= n)),
+        hits AS (
+            SELECT doc_id, item_id, i, p.n FROM places p JOIN wins USING (n, win)),
+        words AS (
+            SELECT doc_id, count(DISTINCT j) AS n_hit
+            FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM hits) GROUP BY doc_id),
+        items AS (
+            SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+            FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits)
+            GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words,
+               CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+               CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+               sha256(coalesce(ids, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+}
