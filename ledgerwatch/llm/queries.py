@@ -13,14 +13,23 @@ from ledgerwatch.llm.common import table
 from ledgerwatch.llm.crf import personal_data
 from ledgerwatch.llm.decontam import contamination
 from ledgerwatch.llm.langid import held_out, identify_languages
+from ledgerwatch.llm.linespread import remove_shared_lines
+from ledgerwatch.llm.linkrank import Rule, judge_pages
 from ledgerwatch.llm.minhash import near_duplicates
 from ledgerwatch.llm.mixing import mix_sources
+from ledgerwatch.llm.secrets import find_secrets
 from ledgerwatch.llm.tokenstore import token_store
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
+URL_RULES = [
+    Rule("block", "net", "/"),
+    Rule("allow", "example.net", "/en/"),
+    Rule("block", "example.com", "/de/"),
+    Rule("allow", "org", "/fr/"),
+]
 
 
 def joined_spans(spans: str) -> Column:
@@ -59,6 +68,10 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_pages(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op6_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -73,6 +86,16 @@ def op6_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        *[spans_of_kind("base", k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        hex_sha256(joined_spans("base")).alias("base_sha256"),
+        joined_spans("spans").alias("spans"),
+    )
+
+
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -88,14 +111,29 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = remove_shared_lines(table(spark, sf_dir, "documents"))
+    kept = F.coalesce("kept_text", F.lit(""))
+    return cleaned.select(
+        "doc_id",
+        "n_lines",
+        "n_removed",
+        F.length(kept).cast("long").alias("kept_chars"),
+        hex_sha256(kept).alias("kept_sha256"),
+    )
+
+
 QUERIES: dict[str, QueryFn] = {
     "op1_language_id": op1_language_id,
     "op2_token_store": op2_token_store,
     "op3_nearest": op3_nearest,
     "op4_near_duplicates": op4_near_duplicates,
+    "op5_url_verdicts": op5_url_verdicts,
     "op6_contamination": op6_contamination,
+    "op7_secrets": op7_secrets,
     "op8_mix": op8_mix,
     "op9_personal_data": op9_personal_data,
+    "op10_line_spread": op10_line_spread,
 }
 
 SQL: dict[str, str] = {
@@ -151,4 +189,30 @@ SQL: dict[str, str] = {
                sha256(coalesce(ids, '')) AS items_sha256,
                coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    # Exact distinct counts of sites for every line.
+    "op10_line_spread": """
+        WITH l AS (
+            SELECT source, trim(unnest(string_split(text, chr(10))), ' ' || chr(9) || chr(13))
+                AS line
+            FROM documents WHERE text IS NOT NULL),
+        shared AS (
+            SELECT list(line) AS lines FROM (
+                SELECT line FROM l WHERE line <> ''
+                GROUP BY line HAVING count(DISTINCT source) >= 10)),
+        d AS (
+            SELECT doc_id, string_split(text, chr(10)) AS own,
+                   list_transform(string_split(text, chr(10)),
+                       lambda x: trim(x, ' ' || chr(9) || chr(13))) AS t
+            FROM documents),
+        k AS (
+            SELECT doc_id, coalesce(len(list_filter(t, lambda x: x <> '')), 0) AS n_lines,
+                   coalesce(len(list_filter(t, lambda x: list_contains(lines, x))), 0)
+                       AS n_removed,
+                   coalesce(array_to_string(list_filter(own, lambda x: NOT coalesce(
+                       list_contains(lines, trim(x, ' ' || chr(9) || chr(13))), FALSE)),
+                       chr(10)), '') AS kept
+            FROM d, shared)
+        SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_removed AS BIGINT) AS n_removed,
+               CAST(length(kept) AS BIGINT) AS kept_chars, sha256(kept) AS kept_sha256
+        FROM k""",
 }
