@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerwatch.llm.common import ready, wide_hash
-from ledgerwatch.llm.textbatch import LOWER, PLAIN, batch_of, words_of
+from ledgerwatch.llm.textbatch import LOWER, PLAIN, Batch, batch_of, words_of
 
 WINDOW = 13
 SEED = 7
@@ -143,12 +143,24 @@ def _placed(runs, data: np.ndarray, items) -> list[dict]:
 PLAIN_ANY_CASE = PLAIN[LOWER]
 
 
-def batch_of_bytes(data: np.ndarray):
-    from ledgerwatch.llm.textbatch import Batch
-
+def batch_of_bytes(data: np.ndarray) -> Batch:
     return Batch(data, np.array([0]), np.array([len(data)]))
 
 
+def item_parts(benchmark: DataFrame) -> list[tuple[tuple[int, str], ...]]:
+    """The items, in parts of about PART_BYTES at most: their number follows the measured
+    size, so each part is small enough to be sent to all workers."""
+    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
+    items = items.where("text is not null").distinct()
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, -(-size // PART_BYTES))
+    chosen = F.pmod(F.xxhash64("text"), F.lit(parts))
+    return [
+        tuple(sorted((tuple(r) for r in items.where(chosen == part).collect()), key=str))
+        for part in range(parts)
+    ]
+
+
 def contamination_runs(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, n_words, runs) for every row of ``docs(doc_id, text)``.
 
@@ -157,22 +169,13 @@ def contamination_runs(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     texts have no words and no runs; so have items. Repeated rows are judged alike. An item
     without item_id is found like others, with a null id. Further columns are ignored.
     """
-    spark = ready(docs.sparkSession)
+    ready(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     key1, key2 = wide_hash(F.col("doc_id"), F.col("text"))
     docs = docs.withColumn("key1", key1).withColumn("key2", key2)
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
-    items = items.where("text is not null").distinct()
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-size // PART_BYTES))
     schema = f"doc_id long, key1 long, key2 long, n_words long, runs {_RUNS_SQL}"
-    found = []
-    for part in range(parts):
-        chosen = F.pmod(F.xxhash64("text"), F.lit(parts)) == part
-        # At most about PART_BYTES, as the number of parts follows the measured size.
-        own = tuple(sorted((tuple(r) for r in items.where(chosen).collect()), key=str))
-        found.append(docs.mapInArrow(_scanner(own), schema))
-    if parts == 1:
+    found = [docs.mapInArrow(_scanner(own), schema) for own in item_parts(benchmark)]
+    if len(found) == 1:
         return found[0].drop("key1", "key2")
     hits = found[0].where(F.size("runs") > 0)
     for more in found[1:]:
@@ -204,6 +207,34 @@ def hit_words(runs: str = "runs") -> Column:
     )
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with all their columns."""
+    parts = item_parts(benchmark)
+    if len(parts) > 1:
+        judged = contamination(docs, benchmark).where("contaminated").select("doc_id").distinct()
+        named = docs.where("doc_id is not null").join(judged, "doc_id", "left_anti")
+        return named.select(docs.columns).union(docs.where("doc_id is null"))
+    ready(docs.sparkSession)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton, words_of_items = _automaton(parts[0])
+        for batch in batches:
+            bytes_of = batch_of(batch.column("text"))
+            raw = bytes_of.data.tobytes().translate(_NORMAL)
+            clean = []
+            for begin, end in zip(bytes_of.start.tolist(), bytes_of.end.tolist(), strict=True):
+                words = raw[begin:end].split()
+                runs = _runs(_line(words), words, automaton, words_of_items) if automaton else []
+                hit = np.zeros(len(words), bool)
+                for _, first, last in runs:
+                    hit[first:last] = True
+                n = int(hit.sum())
+                clean.append(not (n > 0 and 20 * n >= len(words)))
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``contamination_runs`` with the judgement: a document is contaminated if words are hit
     and they are at least a twentieth of its words."""

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -199,6 +200,21 @@ def identify_languages(docs: DataFrame, labelled: DataFrame, ambiguous_gap: floa
     )
 
 
+def drop_unidentified(docs: DataFrame, labelled: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose text has a language, with all their columns. Rejected are
+    texts that are null or without letters, and all if no row is labelled."""
+    ready(docs.sparkSession)
+    model = fit(training_rows(labelled.select("doc_id", "text", F.col("lang").cast("string"))))
+    predict = _predictor(model)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for found in predict(iter([batch])):
+                yield batch.filter(pc.not_equal(found.column("lang_pred"), UNDECIDED))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def held_out(doc_id: str = "doc_id"):
     """Rows that no classifier is fitted on: crc32 of the id as text, modulo 3, is 1."""
     return F.coalesce(F.crc32(F.encode(F.col(doc_id).cast("string"), "utf-8")) % 3 == 1, F.lit(False))
