@@ -39,7 +39,7 @@ ENCODINGS = (
     ("url64", r"^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])[A-Za-z0-9_-]+$", UPPER + LOWER + DIGITS + "-_"),
 )
 # Rate of random tokens among those held to be not random.
-FALSE_DISCOVERIES = 0.05
+FALSE_DISCOVERIES = 0.01
 # Fewer bits than this are too short to be told from chance.
 LEAST_BITS = 80.0
 # Tokens are compared with those of like length: classes by these lower ends.
@@ -131,7 +131,7 @@ def battery(tokens: DataFrame) -> DataFrame:
         F.transform(
             F.split("token", ""), lambda c: (F.instr(F.col("alphabet"), c) - 1).cast("double")
         ).alias("x"),
-        F.when(n < 40, 4.0).when(n < 80, 8.0).otherwise(16.0).alias("k"),
+        F.when(n < 24, 4.0).when(n < 64, 8.0).otherwise(16.0).alias("k"),
     )
     return _tested(rows, tokens.columns)
 
