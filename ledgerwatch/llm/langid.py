@@ -27,6 +27,7 @@ ORDERS = (1, 2, 3)
 TRAIN_ROWS = 400
 TRAIN_BYTES = 20_000
 EPOCHS = 60
+HASH_PARTS = 1 << 14
 UNDECIDED = "und"
 PIECE = 1 << 21
 
@@ -172,10 +173,20 @@ def training_rows(labelled: DataFrame) -> list[tuple[str, bytes]]:
     """The bounded sample of ``labelled(doc_id, text, lang)``: for each language the rows of
     least hash of their id. The number of languages is that of the labels in use."""
     rows = labelled.where("lang is not null and text is not null and doc_id is not null")
-    # Ranked without the texts, so that only the chosen rows' texts move.
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    keys = rows.select("lang", "doc_id").distinct()
+    # Ranked without the texts, and only where the rank can be low: hashes are cut into parts,
+    # and sums over the counts of parts tell up to which part a language's rows are needed.
+    hashed = F.xxhash64("doc_id")
+    keys = rows.select("lang", "doc_id").withColumn("hash", hashed)
+    keys = keys.withColumn("part", F.floor((F.col("hash") / 2.0**63 + 1) * HASH_PARTS / 2))
+    counts = keys.groupBy("lang", "part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("lang").orderBy("part")
+    before = before.rowsBetween(Window.unboundedPreceding, -1)
+    needed = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    needed = needed.where(F.col("before") < TRAIN_ROWS).select("lang", "part")
+    order = Window.partitionBy("lang").orderBy("hash", "doc_id")
+    keys = keys.join(needed, ["lang", "part"]).select("lang", "doc_id", "hash").distinct()
     keys = keys.withColumn("place", F.row_number().over(order)).where(f"place <= {TRAIN_ROWS}")
+    keys = keys.select("lang", "doc_id")
     rows = rows.join(keys, ["lang", "doc_id"]).groupBy("lang", "doc_id")
     rows = rows.agg(F.min(F.encode(F.substring("text", 1, TRAIN_BYTES), "utf-8")).alias("text"))
     rows = rows.orderBy("lang", F.xxhash64("doc_id"), "doc_id").select("lang", "text")

@@ -60,7 +60,7 @@ class WordEncoder:
         if len(self.slots) > REMEMBERED:
             self.forget()
         words: list[str] = []
-        ends = []
+        ends = [0]
         whole = {}
         for i, text in enumerate(texts):
             text = text or ""
@@ -78,7 +78,7 @@ class WordEncoder:
         total = np.concatenate(([0], np.cumsum(count)))
         base = np.repeat(self.start[at] - total[:-1], count)
         ids = self.flat[base + np.arange(total[-1])]
-        lengths = np.diff(total[np.concatenate(([0], ends))])
+        lengths = np.diff(total[np.array(ends)])
         if whole:
             parts = np.split(ids, np.cumsum(lengths)[:-1])
             for i, own in whole.items():
