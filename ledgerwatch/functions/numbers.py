@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from ledgerwatch.functions.text import strip
 
-# A plain number with at least one digit; NaN, Infinity, hex and exponents do not match.
+# A number with at least one digit, with or without exponent; NaN, Infinity and hex do not
+# match. Exponents of more than four digits are refused: printed plainly, such a number would
+# have more places than any text can be meant to hold.
 _PLAIN = r"^[+-]?(?=\d|\.\d)\d*\.?\d*$"
+_NUMBER = r"^[+-]?(?=\d|\.\d)\d*\.?\d*(?:[eE][+-]?0*\d{1,4})?$"
 _EXPONENT = r"[eE](.+)$"
-_WIDE = "decimal(38,18)"
-_WIDE_SCALE = 18
 
 
 def _cleaned(value: Column) -> Column:
@@ -19,10 +20,8 @@ def _cleaned(value: Column) -> Column:
 
 
 def is_decimal_text(value: Column) -> Column:
-    """A finite decimal number. Plain numbers may have any length; the exponent form must fit
-    38 digits."""
-    text = _cleaned(value)
-    return F.coalesce(text.rlike(_PLAIN) | text.try_cast(_WIDE).isNotNull(), F.lit(False))
+    """A finite decimal number of any length, told from its text."""
+    return F.coalesce(_cleaned(value).rlike(_NUMBER), F.lit(False))
 
 
 def is_negative_text(value: Column) -> Column:
@@ -42,17 +41,29 @@ def plain_decimal(value: Column) -> Column:
     # Leading plus and zeros go, a bare point gets its zero, a trailing point goes.
     simple = F.regexp_replace(text, r"^\+?(-?)0*(?=\d)|\.$|^\+(?=\.)", "$1")
     simple = F.regexp_replace(simple, r"^(?<sign>-?)(?=\.)", "${sign}0")
-    exponent = F.regexp_extract(text, _EXPONENT, 1).try_cast("int")
-    decimals = F.length(F.regexp_extract(text, r"\.(\d*)", 1))
-    scale = F.greatest(decimals - exponent, F.lit(0))
-    wide = text.try_cast(_WIDE).cast("string")
-    point = F.when(scale == 0, F.lit(1)).otherwise(F.lit(0))
-    moved = F.substr(wide, F.lit(1), F.length(wide) - _WIDE_SCALE + scale - point)
-    # A failing try_cast costs an exception per row, so the exponent is only looked at where
-    # there is one.
+    moved = _point_moved(text)
     return F.when(~text.rlike(_EXPONENT), simple).otherwise(moved)
 
 
+def _point_moved(text: Column) -> Column:
+    """A number in exponent form in plain notation: its digits with the point moved."""
+    sign = F.when(text.startswith("-"), F.lit("-")).otherwise(F.lit(""))
+    whole = F.regexp_extract(text, r"^[+-]?(\d*)", 1)
+    rest = F.regexp_extract(text, r"\.(\d*)", 1)
+    digits = F.concat(whole, rest)
+    exponent = F.coalesce(F.regexp_extract(text, _EXPONENT, 1).try_cast("int"), F.lit(0))
+    # Digits before the point, with zeros on either side so that the point is among them.
+    place = F.length(whole) + exponent
+    before = F.repeat(F.lit("0"), F.greatest(-place, F.lit(0)) + 1)
+    after = F.repeat(F.lit("0"), F.greatest(place - F.length(digits), F.lit(0)))
+    padded = F.concat(before, digits, after)
+    cut = F.length(before) + place
+    left = F.substr(padded, F.lit(1), cut)
+    right = F.substr(padded, cut + 1, F.length(padded))
+    left = F.regexp_replace(left, r"^0+(?=\d)", "")
+    return F.concat(sign, left, F.when(right == "", F.lit("")).otherwise(F.concat(F.lit("."), right)))
+
+
 def strict_int(value: Column) -> Column:
     """Whole number or NULL; ``5.0``, ``0x1`` and text are NULL."""
     text = strip(value)

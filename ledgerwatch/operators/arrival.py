@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from decimal import Decimal
+from decimal import Decimal, getcontext
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ledgerwatch.config import WINDOW_MS
 from ledgerwatch.functions.times import epoch_ms
+from ledgerwatch.schemas import AMOUNT
 
 
 class RecentEntries:
@@ -25,6 +26,7 @@ class RecentEntries:
 
     def __init__(self, window_ms: int) -> None:
         self.window_ms = window_ms
+        getcontext().prec = 60  # sums of 38-digit amounts stay exact
         self.times: list[int] = []
         self.items: list[tuple[str, Decimal]] = []
         self.total = Decimal(0)
@@ -140,7 +142,7 @@ def arrival_window(
         F.col(part).cast("long").alias("__part"),
         F.col(off).cast("long").alias("__off"),
         ms.alias("__ms"),
-        F.col(amount).cast("decimal(19,2)").alias("__amount"),
+        F.col(amount).cast(AMOUNT).alias("__amount"),
     ).select(
         "*",
         (F.col("__ms") - F.pmod("__ms", F.lit(width))).alias("__bucket"),
@@ -192,7 +194,7 @@ def arrival_window(
     answers = walked.mapInPandas(
         walk,
         f"{user} {user_type}, __part long, __off long, "
-        "window_count long, window_sum decimal(29,2)",
+        "window_count long, window_sum decimal(38,12)",
     )
     keyed = df.withColumns(
         {"__part": F.col(part).cast("long"), "__off": F.col(off).cast("long")}

@@ -37,7 +37,7 @@ def sanitized_message(message: Column, error_type: Column) -> Column:
 
 
 def to_dead_letters(
-    failed: DataFrame, stage: str, now: Column | None = None
+    failed: DataFrame, stage: str | Column, now: Column | None = None
 ) -> DataFrame:
     """PENDING rows from failed events.
 
@@ -56,7 +56,7 @@ def to_dead_letters(
         F.col("partition_no").cast("int").alias("source_partition"),
         F.col("offset_no").cast("long").alias("source_offset"),
         F.lit(DEAD_LETTER_TOPIC).alias("dlt_topic"),
-        F.lit(stage).alias("failure_stage"),
+        (F.lit(stage) if isinstance(stage, str) else stage).alias("failure_stage"),
         F.col("error_type"),
         sanitized_message(F.col("error_message"), F.col("error_type")).alias("error_message"),
         "payload_json",
@@ -71,8 +71,9 @@ def to_dead_letters(
     return rows.select(*DEAD_LETTER.fieldNames())
 
 
-def to_envelopes(dlq: DataFrame) -> DataFrame:
-    """(key, value) rows for the dead-letter topic; the payload is a nested object again."""
+def to_envelopes(dlq: DataFrame, *keep: str) -> DataFrame:
+    """(key, value) rows for the dead-letter topic, with the columns named in ``keep``; the
+    payload is a nested object again."""
     value = F.struct(
         F.col("event_id").alias("eventId"),
         F.col("trace_id").alias("traceId"),
@@ -86,7 +87,7 @@ def to_envelopes(dlq: DataFrame) -> DataFrame:
         F.from_json("payload_json", TRANSACTION_JSON).alias("payload"),
         F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("failedAt"),
     )
-    return dlq.select(F.col("user_id").alias("key"), F.to_json(value).alias("value"))
+    return dlq.select(*keep, F.col("user_id").alias("key"), F.to_json(value).alias("value"))
 
 
 def union_rejects(*streams: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from ledgerwatch.config import (
     MAX_FUTURE_MINUTES,
     SCHEMA_VERSION,
 )
+from ledgerwatch.functions.numbers import is_decimal_text, plain_decimal
 from ledgerwatch.functions.text import blank_to, is_blank, joined
 from ledgerwatch.schemas import TRANSACTION_JSON, TRANSACTION_NAMES
 
@@ -111,6 +112,19 @@ def columns_to_wire() -> Column:
     )
 
 
+def _exact_amount(payload: Column, amount: Column) -> Column:
+    """The parsed amount is the number in the payload, not one rounded to its scale."""
+    text = F.regexp_extract(payload, r'"amount"\s*:\s*"?\s*([^",}\s]*)', 1)
+    shown = plain_decimal(text)
+
+    def bare(number: Column) -> Column:
+        number = F.regexp_replace(number, r"(\.\d*?)0+$", "$1")
+        return F.regexp_replace(F.regexp_replace(number, r"\.$", ""), r"^-0$", "0")
+
+    same = bare(shown) == bare(amount.cast("string"))
+    return F.coalesce(~is_decimal_text(text) | same, F.lit(True))
+
+
 def parse_guard(
     df: DataFrame, value: str = "value", supported: tuple[str, ...] = (SCHEMA_VERSION,)
 ) -> tuple[DataFrame, DataFrame]:
@@ -157,6 +171,13 @@ def parse_guard(
                 F.lit("MISSING_FIELD").alias("error_type"), missing_text.alias("error_message")
             ),
         )
+        .when(
+            ~_exact_amount(F.col(value), event["amount"]),
+            F.struct(
+                F.lit("UNSUPPORTED_AMOUNT").alias("error_type"),
+                F.lit("amount has more digits than an amount can hold").alias("error_message"),
+            ),
+        )
         .when(
             F.try_to_timestamp(event["eventTime"]).isNull(),
             F.struct(

@@ -28,6 +28,7 @@ from ledgerwatch.functions.numbers import (
 from ledgerwatch.functions.text import first_reason, is_blank
 from ledgerwatch.functions.times import iso_seconds
 from ledgerwatch.operators.typemap import map_native_type
+from ledgerwatch.schemas import AMOUNT
 
 # (raw column, output field)
 BALANCES = (
@@ -211,17 +212,25 @@ def rejects_of(tagged: DataFrame) -> DataFrame:
 
 
 def scoring_columns(events: DataFrame) -> DataFrame:
-    """Typed inputs of the balance rules, taken from prepared events."""
+    """Typed inputs of the balance rules, taken from prepared events. Amounts are exact to
+    26 whole digits; larger ones count as the largest of these, which no threshold tells
+    apart."""
+
+    def exact(value: str) -> Column:
+        text = F.col(value)
+        largest = F.lit("9" * 26).cast(AMOUNT)
+        huge = F.length(F.regexp_extract(text, r"^-?(\d*)", 1)) > 26
+        clamped = F.when(text.startswith("-"), -largest).otherwise(largest)
+        # Decimals beyond the twelfth are cut, which moves no value across a threshold.
+        cut = F.regexp_replace(text, r"(\.\d{12})\d+$", "$1")
+        return F.when(huge, clamped).otherwise(cut.try_cast(AMOUNT))
+
     return events.select(
         F.col("eventId").alias("event_id"),
         F.col("userId").alias("user_id"),
         F.col("nativeEventType").alias("native_type"),
-        F.col("amount").try_cast("decimal(19,2)").alias("amount"),
-        F.col("balanceFeatures.oldBalanceOrig")
-        .try_cast("decimal(19,2)")
-        .alias("old_balance"),
-        F.col("balanceFeatures.newBalanceOrig")
-        .try_cast("decimal(19,2)")
-        .alias("new_balance"),
+        exact("amount").alias("amount"),
+        exact("balanceFeatures.oldBalanceOrig").alias("old_balance"),
+        exact("balanceFeatures.newBalanceOrig").alias("new_balance"),
         F.try_to_timestamp("eventTime").alias("event_time"),
     )

@@ -162,7 +162,7 @@ def balance_rules(
                 lambda: (
                     had_money()
                     & (F.col("amount") > 0)
-                    & (F.col("amount") * 10 >= F.col("old_balance") * 8)
+                    & (F.try_multiply("amount", F.lit(10)) >= F.try_multiply("old_balance", F.lit(8)))
                 ),
             ),
             Rule(

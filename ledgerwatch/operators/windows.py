@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgerwatch.config import WINDOW_MS
 from ledgerwatch.functions.times import epoch_ms
+from ledgerwatch.schemas import AMOUNT, WINDOW_SUM
 
 
 def _bucket_start(instant: Column, width: int) -> Column:
@@ -116,11 +117,11 @@ def trailing_window(
         window_ms,
         {
             "window_count": F.when(F.col(amount).isNotNull(), 1).otherwise(0),
-            "window_sum": F.coalesce(F.col(amount), F.lit(0)).cast("decimal(19,2)"),
+            "window_sum": F.coalesce(F.col(amount), F.lit(0)).cast(AMOUNT),
         },
     )
     return out.withColumn(
-        "window_sum", F.col("window_sum").cast("decimal(29,2)")
+        "window_sum", F.col("window_sum").cast(WINDOW_SUM)
     ).select(*df.columns, "window_count", "window_sum")
 
 

@@ -6,7 +6,10 @@ from pyspark.sql import types as T
 
 from ledgerwatch.config import PAYSIM_COLUMNS
 
-AMOUNT = T.DecimalType(19, 2)
+# Wide enough that amounts are compared and summed as they came; what does not fit is refused
+# by ``parse_guard``, never rounded.
+AMOUNT = T.DecimalType(38, 12)
+WINDOW_SUM = "decimal(38,12)"
 
 
 def _struct(*fields: tuple[str, T.DataType]) -> T.StructType:

@@ -3,14 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ledgerwatch.operators.windows import first_wins
 from ledgerwatch.sources.files import path_exists
 
 
-def stored(spark: SparkSession, target: str) -> DataFrame | None:
-    """The rows already in the target, or None before the first append."""
-    return spark.read.parquet(target) if path_exists(spark, target) else None
+MOST_PARTITIONS = 400
+
+
+def stored(
+    spark: SparkSession, target: str, schema: StructType | str
+) -> DataFrame | None:
+    """The rows already in the target, or None before the first append. A first batch may have
+    had nothing to append, so the schema is given, not read."""
+    return spark.read.schema(schema).parquet(target) if path_exists(spark, target) else None
 
 
 def new_rows(
@@ -35,6 +43,19 @@ def repeated_rows(batch: DataFrame, target: DataFrame, keys: list[str]) -> DataF
     return batch.join(seen, keys, "left_semi")
 
 
+def in_partitions(target: DataFrame, batch: DataFrame, columns: list[str]) -> DataFrame:
+    """The part of the target that lies in the partitions the batch falls into. The values are
+    read from the batch; a batch that spans more than ``MOST_PARTITIONS`` reads the whole."""
+    for name in columns:
+        rows = batch.select(name).distinct().limit(MOST_PARTITIONS + 1).collect()
+        if len(rows) > MOST_PARTITIONS:
+            continue
+        values = [r[0] for r in rows]
+        test = F.col(name).isin([v for v in values if v is not None])
+        target = target.where(test | F.col(name).isNull() if None in values else test)
+    return target
+
+
 def append_once(
     batch: DataFrame,
     target: str,
@@ -45,10 +66,15 @@ def append_once(
     """Append the new rows to a parquet target. Running the same batch again appends nothing.
     One writer per target.
 
-    The appended rows are not handed back: a plan that reads the target sees the new files
-    after the write. Take ``new_rows`` and checkpoint it where they are needed as well.
+    ``partition_by`` names columns that a key determines (a date, a block of offsets): a
+    repeated row lies in the same partition, so only the batch's partitions of the target are
+    read. The appended rows are not handed back: a plan that reads the target sees the new
+    files after the write. Take ``new_rows`` and checkpoint it where they are needed as well.
     """
-    fresh = new_rows(batch, stored(batch.sparkSession, target), keys, order)
+    old = stored(batch.sparkSession, target, batch.schema)
+    if old is not None and partition_by:
+        old = in_partitions(old, batch, partition_by)
+    fresh = new_rows(batch, old, keys, order)
     writer = fresh.write.mode("append")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

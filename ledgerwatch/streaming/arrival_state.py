@@ -14,10 +14,11 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ledgerwatch.config import STATE_TTL_MS, WINDOW_MS
 from ledgerwatch.functions.times import epoch_ms
 from ledgerwatch.operators.arrival import RecentEntries
+from ledgerwatch.schemas import AMOUNT
 
 _OUT = (
     "user_id string, event_id string, payload string, "
-    "window_count long, window_sum decimal(29,2), duplicate boolean"
+    "window_count long, window_sum decimal(38,12), duplicate boolean"
 )
 _TIME_FORMAT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
@@ -44,7 +45,7 @@ class ArrivalWindowProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.entries = handle.getMapState(
-            "entries", "event_id string", "ms long, amount decimal(19,2)", self.config.ttl_ms
+            "entries", "event_id string", "ms long, amount decimal(38,12)", self.config.ttl_ms
         )
         self.seen = handle.getMapState(
             "seen", "event_id string", "flag boolean", self.config.seen_ttl_ms or None
@@ -103,7 +104,7 @@ def arrival_window_stream(events: DataFrame, config: StateConfig | None = None)
         F.col("partition_no").cast("long").alias("partition_no"),
         F.col("offset_no").cast("long").alias("offset_no"),
         epoch_ms(F.col("event_time")).alias("ms"),
-        F.col("amount").cast("decimal(19,2)").alias("amount"),
+        F.col("amount").cast(AMOUNT).alias("amount"),
         F.to_json(F.struct(*events.columns), _TIME_FORMAT).alias("payload"),
     )
     answered = narrow.groupBy("user_id").transformWithStateInPandas(

@@ -8,33 +8,47 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ledgerwatch.operators.deadletter import to_dead_letters
+from ledgerwatch.operators.deadletter import to_dead_letters, to_envelopes
+from ledgerwatch.operators.intake import columns_to_wire, parse_guard
 from ledgerwatch.operators.replay import to_replay_request, validate_replay
 from ledgerwatch.operators.rules import RuleSet, baseline_rules, score_events
 from ledgerwatch.operators.sampling import limit_rows
-from ledgerwatch.schemas import FRAUD_RESULT, PROCESSING_LOG, SOURCE_POSITION
-from ledgerwatch.session import keyed_state_settings
-from ledgerwatch.sources.idempotent import append_once
+from ledgerwatch.schemas import FRAUD_RESULT, PROCESSING_LOG, SOURCE_POSITION, WINDOW_SUM
+from ledgerwatch.session import keyed_state_settings, ship_package
+from ledgerwatch.sources.idempotent import append_once, stored
 from ledgerwatch.streaming.arrival_state import StateConfig, arrival_window_stream
 
 RULE_STAGE = "RULE_ENGINE_ERROR"
-_EMPTY_WINDOW = {"window_count": "long", "window_sum": "decimal(29,2)"}
+PARSE_STAGE = "PAYLOAD_ERROR"
+_EMPTY_WINDOW = {"window_count": "long", "window_sum": WINDOW_SUM}
+_FAULT = ("failure_stage", "error_type", "error_message", "payload_json")
+# Offsets of one block share a partition of the log and of the dead letters.
+OFFSET_BLOCK = 1_000_000
 
 
 @dataclass(frozen=True)
 class Sinks:
-    """Parquet folders; the checkpoint must outlive the query and be shared."""
+    """Parquet folders; the checkpoint must outlive the query and be shared.
+
+    Results are partitioned by event date, the others by blocks of offsets, so that a
+    micro-batch reads only the partitions its own rows fall into. An event id belongs to one
+    event time: a redelivery under another date would be another event."""
 
     logs: str
     results: str
     dead_letters: str
     checkpoint: str
+    envelopes: str | None = None
 
     @classmethod
     def under(cls, folder: str) -> Sinks:
         base = folder.rstrip("/")
         return cls(
-            f"{base}/logs", f"{base}/results", f"{base}/dead_letters", f"{base}/checkpoint"
+            f"{base}/logs",
+            f"{base}/results",
+            f"{base}/dead_letters",
+            f"{base}/checkpoint",
+            f"{base}/envelopes",
         )
 
 
@@ -67,9 +81,12 @@ def processing_logs(
     ``final_status`` writes what really became of it."""
     status = F.lit("PROCESSED")
     if final_status:
+        failed = rule_failure()
+        if "error_type" in batch.columns:
+            failed = failed | F.col("error_type").isNotNull()
         status = (
             F.when(F.col("duplicate"), F.lit("DUPLICATE_SKIPPED"))
-            .when(rule_failure(), F.lit("FAILED"))
+            .when(failed, F.lit("FAILED"))
             .otherwise(status)
         )
     return batch.withColumns(
@@ -77,6 +94,25 @@ def processing_logs(
     ).select(*PROCESSING_LOG.fieldNames())
 
 
+def _already_scored(batch: DataFrame, results: DataFrame | None) -> DataFrame:
+    """Failed rows become duplicates where their event has a result: stored by an earlier
+    batch, or to be stored from an earlier row of this one. Other rows pass unchanged."""
+    failed = batch.filter(F.col("error_type").isNotNull())
+    position = F.struct("partition_no", "offset_no")
+    scored = batch.filter(F.col("error_type").isNull() & ~F.col("duplicate"))
+    scored = scored.groupBy("event_id").agg(F.min(position).alias("__scored_at"))
+    failed = failed.join(scored, "event_id", "left")
+    before = F.coalesce(F.col("__scored_at") < position, F.lit(False))
+    if results is not None:
+        wanted = failed.select("event_id").distinct()
+        old = results.select("event_id").join(wanted, "event_id", "left_semi").distinct()
+        old = old.withColumn("__stored", F.lit(True))
+        failed = failed.join(old, "event_id", "left")
+        before = before | F.col("__stored").isNotNull()
+    failed = failed.withColumn("duplicate", before).select(*batch.columns)
+    return batch.filter(F.col("error_type").isNull()).unionByName(failed)
+
+
 def store_batch(
     batch: DataFrame,
     sinks: Sinks,
@@ -85,44 +121,95 @@ def store_batch(
     group: str = "fraud-consumer",
     final_status: bool = False,
 ) -> None:
-    """Write one micro-batch: log, results, dead letters, in that order. Every write is
-    idempotent, so a repeated batch converges to the same tables."""
+    """Write one micro-batch: log, dead letters with their envelopes, results, in that order.
+
+    Every write is idempotent, so a repeated batch converges to the same tables. Results come
+    last: what a repeated batch finds stored then decides nothing that was not yet written.
+    Times of writing differ between the parts of a repeated batch, as each keeps its own.
+    """
     now = F.current_timestamp()
     position = list(SOURCE_POSITION)
-    batch.persist()
+    block = F.floor(F.col("offset_no") / OFFSET_BLOCK)
+    if "error_type" not in batch.columns:
+        batch = _with_faults(batch)
+    batch = _already_scored(batch, stored(batch.sparkSession, sinks.results, "event_id string"))
+    batch = batch.persist()
     try:
-        logs = processing_logs(batch, group, final_status, now)
-        append_once(logs, sinks.logs, position, position)
+        logs = processing_logs(batch, group, final_status, now).withColumn("offset_block", block)
+        append_once(logs, sinks.logs, position, position, ["offset_block"])
         fresh = batch.filter(~F.col("duplicate"))
-        good, failed = route_failures(fresh)
+        failed = fresh.filter(F.col("error_type").isNotNull())
+        dead = to_dead_letters(failed, F.col("failure_stage"), now)
+        keys = ["source_topic", "source_partition", "source_offset"]
+        dead = dead.withColumn("offset_block", F.floor(F.col("source_offset") / OFFSET_BLOCK))
+        append_once(dead, sinks.dead_letters, keys, keys, ["offset_block"])
+        if sinks.envelopes:
+            sent = to_envelopes(dead, *keys, "offset_block")
+            append_once(sent, sinks.envelopes, keys, keys, ["offset_block"])
+        good = fresh.filter(F.col("error_type").isNull())
         scored = score_events(good, rule_set, stateful=stateful).withColumn(
             "detected_at", now
         )
-        wanted = FRAUD_RESULT.fieldNames()
-        results = scored.select(*wanted, *position[1:])
-        append_once(results, sinks.results, ["event_id"], position[1:])
-        dead = to_dead_letters(failed, RULE_STAGE, now)
-        keys = ["source_topic", "source_partition", "source_offset"]
-        append_once(dead, sinks.dead_letters, keys, keys)
+        results = scored.select(
+            *FRAUD_RESULT.fieldNames(), *position[1:], F.to_date("event_time").alias("event_date")
+        )
+        append_once(results, sinks.results, ["event_id"], position[1:], ["event_date"])
     finally:
         batch.unpersist()
 
 
+def _with_faults(events: DataFrame) -> DataFrame:
+    """The fault columns of every row: NULL where it can be scored."""
+    good, failed = route_failures(events)
+    text = F.lit(None).cast("string")
+    payload = F.to_json(columns_to_wire())
+    good = good.withColumns(dict.fromkeys(_FAULT, text))
+    failed = failed.withColumns({"failure_stage": F.lit(RULE_STAGE), "payload_json": payload})
+    return good.unionByName(failed.select(*good.columns))
+
+
 def detect(
     events: DataFrame,
     stateful: bool = True,
     config: StateConfig | None = None,
+    unreadable: DataFrame | None = None,
 ) -> DataFrame:
-    """Events with window columns and the duplicate flag. Without state there is no window
-    and no in-stream duplicate check; the idempotent sink still stores each event once."""
+    """Events with window columns, the duplicate flag, and the fault columns.
+
+    Rows that no rule can be evaluated on, and the ``unreadable`` ones of ``parse_guard``,
+    pass beside the state: they are in no window and no id is remembered for them, so a
+    repaired event that comes again is scored. Without state there is no window and no
+    in-stream duplicate check; the idempotent sink still stores each event once.
+    """
+    good, failed = route_failures(events)
     if stateful:
-        return arrival_window_stream(events, config)
-    return events.withColumns(
+        answered = arrival_window_stream(good, config)
+    else:
+        answered = good.withColumns(_unanswered())
+    text = F.lit(None).cast("string")
+    answered = answered.withColumns(dict.fromkeys(_FAULT, text))
+    failed = failed.withColumns(
         {
-            **{n: F.lit(None).cast(t) for n, t in _EMPTY_WINDOW.items()},
-            "duplicate": F.lit(False),
+            "failure_stage": F.lit(RULE_STAGE),
+            "payload_json": F.to_json(columns_to_wire()),
+            **_unanswered(),
         }
     )
+    out = answered.unionByName(failed.select(*answered.columns))
+    if unreadable is not None:
+        rest = unreadable.withColumns({"failure_stage": F.lit(PARSE_STAGE), **_unanswered()})
+        missing = {
+            f.name: F.lit(None).cast(f.dataType)
+            for f in answered.schema.fields
+            if f.name not in rest.columns
+        }
+        out = out.unionByName(rest.withColumns(missing).select(*answered.columns))
+    return out
+
+
+def _unanswered() -> dict[str, Column]:
+    columns = {name: F.lit(None).cast(kind) for name, kind in _EMPTY_WINDOW.items()}
+    return {**columns, "duplicate": F.lit(False)}
 
 
 def detect_stream(
@@ -133,6 +220,7 @@ def detect_stream(
     config: StateConfig | None = None,
     final_status: bool = False,
     available_now: bool = False,
+    unreadable: DataFrame | None = None,
 ) -> StreamingQuery:
     """Start detection on a stream of transaction rows with source positions.
 
@@ -140,7 +228,8 @@ def detect_stream(
     the batch: at least once, made effectively once by the sinks.
     """
     rule_set = rule_set or baseline_rules()
-    answered = detect(events, stateful, config)
+    ship_package(events.sparkSession)
+    answered = detect(events, stateful, config, unreadable)
 
     def store(batch: DataFrame, _: int) -> None:
         store_batch(batch, sinks, rule_set, stateful, final_status=final_status)
@@ -156,6 +245,13 @@ def detect_stream(
         return writer.start()
 
 
+def detect_payloads(raw: DataFrame, sinks: Sinks, **options) -> StreamingQuery:
+    """Detection from raw payloads (topic, partition_no, offset_no, value) to results:
+    payloads that do not parse become dead letters, all others are events."""
+    events, unreadable = parse_guard(raw)
+    return detect_stream(events, sinks, unreadable=unreadable, **options)
+
+
 def replay_stream(
     spark: SparkSession,
     events: DataFrame,

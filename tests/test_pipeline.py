@@ -233,3 +233,77 @@ def test_batch_plan(spark, order):
     found = detect_batch(frame(spark, tx(1), tx(2, seconds=1), tx(3, event_id="e1")), order=order)
     got = {r["event_id"]: r["window_count"] for r in found.collect()}
     assert got == {"e1": 1, "e2": 2}
+
+
+def wire(rows):
+    """Payload rows of transaction rows."""
+    return rows.select("topic", "partition_no", "offset_no", to_value().alias("value"))
+
+
+def test_repaired_events_are_scored_and_nothing_stops_the_stream(spark, folder):
+    """Raw payloads in three micro-batches: one that cannot be read, one without time, one
+    without amount; then the repaired ones, duplicates, and a broken copy of a scored one."""
+    from ledgerwatch.streaming.detect import detect_payloads
+
+    good = wire(frame(spark, tx(1), tx(2, amount="2000000"), tx(3)))
+    broken = good.withColumn(
+        "value",
+        F.when(F.col("offset_no") == 2, F.regexp_replace("value", '"amount":[^,]*,', ""))
+        .when(F.col("offset_no") == 3, F.regexp_replace("value", '"eventTime":"[^"]*"', '"eventTime":"soon"'))
+        .otherwise(F.col("value")),
+    )
+    junk = spark.createDataFrame([("t", 0, 4, "{")], "topic string, partition_no int, offset_no long, value string")
+    huge = wire(frame(spark, tx(5))).withColumn("value", F.regexp_replace("value", '"amount":[^,]*', '"amount":999999.995'))
+    tiny = wire(frame(spark, tx(6))).withColumn("value", F.regexp_replace("value", '"amount":[^,]*', '"amount":1e-19'))
+    parts = [broken.unionByName(junk), huge.unionByName(tiny)]
+    parts.append(good.withColumn("offset_no", F.col("offset_no") + 10))
+    # The last part is a broken copy of the scored first event: a duplicate, as its result is there.
+    lost = good.where("offset_no = 1").withColumn("value", F.regexp_replace("value", '"amount":[^,]*,', ""))
+    parts.append(lost.withColumn("offset_no", F.lit(40).cast("long")))
+    schema = good.schema
+    sinks = Sinks.under(f"{folder}/out")
+    for i, part in enumerate(parts):
+        part.coalesce(1).write.mode("append").json(f"{folder}/in")
+        raw = spark.readStream.schema(schema).json(f"{folder}/in")
+        detect_payloads(raw, sinks, available_now=True, final_status=True).awaitTermination()
+    results = {r["event_id"]: r["matched_rules"] for r in spark.read.parquet(sinks.results).collect()}
+    assert set(results) == {"e1", "e2", "e3", "e5"}
+    assert "AMOUNT_THRESHOLD" in results["e2"] and "AMOUNT_THRESHOLD" not in results["e5"]
+    dead = {r["source_offset"]: r["error_type"] for r in spark.read.parquet(sinks.dead_letters).collect()}
+    assert dead == {2: "MISSING_FIELD", 3: "INVALID_EVENT_TIME", 4: "UNPARSEABLE_PAYLOAD",
+                    6: "UNSUPPORTED_AMOUNT"}
+    sent = spark.read.parquet(sinks.envelopes).collect()
+    assert {r["source_offset"] for r in sent} == set(dead)
+    assert json.loads(next(r["value"] for r in sent if r["source_offset"] == 2))["eventId"] == "e2"
+    log = spark.read.parquet(sinks.logs).groupBy("status").count()
+    counts = {r["status"]: r["count"] for r in log.collect()}
+    assert counts["FAILED"] == 4 and counts["DUPLICATE_SKIPPED"] == 2
+
+
+def test_rows_without_rule_input_pass_beside_the_state(spark, folder):
+    rows = frame(spark, tx(1, amount=None), tx(2)).withColumn(
+        "event_time", F.when(F.col("offset_no") == 2, F.lit(None)).otherwise(F.col("event_time")))
+    rows.coalesce(1).write.parquet(f"{folder}/in")
+    sinks = run_stream(spark, f"{folder}/in", f"{folder}/out")
+    assert spark.read.schema("event_id string").parquet(sinks.results).count() == 0
+    assert spark.read.parquet(sinks.dead_letters).count() == 2
+    frame(spark, tx(21, event_id="e1"), tx(22, event_id="e2")).write.mode("append").parquet(f"{folder}/in")
+    run_stream(spark, f"{folder}/in", f"{folder}/out")
+    assert {r["event_id"] for r in spark.read.parquet(sinks.results).collect()} == {"e1", "e2"}
+
+
+def test_append_once_reads_only_the_batch_partitions(spark, folder):
+    from ledgerwatch.sources.idempotent import in_partitions
+
+    rows = frame(spark, *[tx(i, seconds=i * 3600) for i in range(96)]).withColumn("day", F.to_date("event_time"))
+    order = ["partition_no", "offset_no"]
+    for _ in range(2):
+        append_once(rows, f"{folder}/t", ["event_id"], order, ["day"])
+    target = spark.read.parquet(f"{folder}/t")
+    assert target.count() == 96
+    pruned = in_partitions(target, rows.where("offset_no < 3"), ["day"])
+    plan = pruned._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [day" in plan or "PartitionFilters: [isnotnull(day" in plan
+    assert len(pruned.inputFiles()) <= len(target.inputFiles())
+    append_once(rows.where("offset_no < 3"), f"{folder}/t", ["event_id"], order, ["day"])
+    assert spark.read.parquet(f"{folder}/t").count() == 96
