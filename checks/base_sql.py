@@ -170,13 +170,6 @@ _cte(
     f"SELECT *, n % 19 = 0 AS degraded, {_DETECTED} FROM ({windowed('once')})",
 )
 _cte("results", ("marked",), f"SELECT *, {_VERSION} FROM ({_score('marked')})")
-_cte(
-    "light_marked",
-    ("accepted",),
-    f"""SELECT *, n % 19 = 0 AS degraded, 0 AS window_count, 0 AS window_sum,
-        {_DETECTED} FROM accepted""",
-)
-_cte("light_results", ("light_marked",), f"SELECT *, {_VERSION} FROM ({_score('light_marked')})")
 _cte("stateless_marked", ("accepted",), "SELECT *, true AS degraded FROM accepted")
 _cte("stateless", ("stateless_marked",), _score("stateless_marked", stateful=False))
 _cte(
@@ -196,11 +189,11 @@ _cte(
 _FAILED = "(event_type = 'DEPOSIT' OR location IS NULL)"
 _cte(
     "stored_results",
-    ("light_results",),
-    f"""SELECT * FROM light_results WHERE n % 31 <> 0 AND NOT {_FAILED}
+    ("results",),
+    f"""SELECT * FROM results WHERE n % 31 <> 0 AND NOT {_FAILED}
           AND NOT (event_type = 'WITHDRAWAL' AND device_id = 'dev-6')
         UNION ALL
-        SELECT * FROM light_results WHERE n % 31 <> 0 AND NOT {_FAILED}
+        SELECT * FROM results WHERE n % 31 <> 0 AND NOT {_FAILED}
           AND event_type = 'WITHDRAWAL' AND device_id = 'dev-5'""",
 )
 _cte(

@@ -20,8 +20,9 @@ from ledgerwatch.operators.deadletter import (
 from ledgerwatch.plans.detection import detect_batch, take_in
 from ledgerwatch.session import ensure_checkpoint_dir
 from ledgerwatch.sources.files import number_rows
+from ledgerwatch.sources.idempotent import append_once as append_to
 from ledgerwatch.sources.idempotent import new_rows, repeated_rows
-from ledgerwatch.streaming.detect import Sinks, detect_stream, route_failures
+from ledgerwatch.streaming.detect import Sinks, detect_payloads, detect_stream, route_failures
 
 FLAGSHIP_COLUMNS = (
     "event_id",
@@ -398,16 +399,16 @@ def filter_results(spark, sf_dir):
 
 @check(
     "latency_columns",
-    ("light_results",),
+    ("results",),
     """SELECT event_id,
          CASE WHEN a >= 0 THEN a END AS ingest_ms, CASE WHEN b >= 0 THEN b END AS detection_ms,
          CASE WHEN c >= 0 THEN c END AS end_to_end_ms
        FROM (SELECT event_id, (epoch_us(received_at) // 1000) - (epoch_us(event_time) // 1000) AS a,
                (epoch_us(detected_at) // 1000) - (epoch_us(received_at) // 1000) AS b,
-               (epoch_us(detected_at) // 1000) - (epoch_us(event_time) // 1000) AS c FROM light_results)""",
+               (epoch_us(detected_at) // 1000) - (epoch_us(event_time) // 1000) AS c FROM results)""",
 )
 def latency_columns(spark, sf_dir):
-    return results.latency_columns(tables.light_results(spark, sf_dir)).select(
+    return results.latency_columns(tables.results(spark, sf_dir)).select(
         "event_id", "ingest_ms", "detection_ms", "end_to_end_ms"
     )
 
@@ -437,12 +438,12 @@ def receipts_by_event_ids(spark, sf_dir):
 
 @check(
     "rule_version_summary",
-    ("light_results",),
+    ("results",),
     """SELECT nullif(trim(rule_version), '') AS rule_version, count(*) AS n
-       FROM light_results GROUP BY 1""",
+       FROM results GROUP BY 1""",
 )
 def rule_version_summary(spark, sf_dir):
-    return results.rule_version_summary(tables.light_results(spark, sf_dir))
+    return results.rule_version_summary(tables.results(spark, sf_dir))
 
 
 @check(
@@ -604,10 +605,103 @@ def stream_detect(spark, sf_dir):
     """The detection stream over all transactions, run to the end; returns stored results."""
     folder = f"{ensure_checkpoint_dir(spark)}/stream_detect-{uuid.uuid4().hex}"
     source = tables.read(spark, sf_dir, "events").schema
-    stream = spark.readStream.schema(source).parquet(f"{sf_dir}/event*.parquet")
+    # A stream source reads a folder; the pattern names the one file of this table.
+    stream = spark.readStream.schema(source).parquet(f"{sf_dir}/events.parque[t]")
     events = take_in(tables.tx_of(stream)).accepted
     sinks = Sinks.under(folder)
     detect_stream(events, sinks, available_now=True).awaitTermination()
     return spark.read.parquet(sinks.results).select(
         "event_id", "user_id", "risk_score", "risk_level", "matched_rules", "rule_version"
     )
+
+
+def payloads(spark, sf_dir):
+    """Raw payloads of all transactions in two deliveries. In the first, some have no amount,
+    a time that is none, an amount that does not fit, or are no JSON; the second repairs half
+    of these and repeats others."""
+    n = F.col("n")
+    tx = tables.tx(spark, sf_dir).withColumn("schema_version", F.lit("v1"))
+    whole = F.to_json(intake.columns_to_wire())
+    rows = tx.select("n", "topic", "partition_no", "offset_no", whole.alias("value"))
+    broken = (
+        F.when(n % 67 == 0, F.regexp_replace("value", '"amount":[^,]*,', ""))
+        .when(n % 71 == 0, F.regexp_replace("value", '"eventTime":"[^"]*"', '"eventTime":"soon"'))
+        .when(n % 73 == 0, F.regexp_replace("value", '"amount":[^,]*', '"amount":1e-19'))
+        .when(n % 79 == 0, F.lit("{"))
+        .otherwise(F.col("value"))
+    )
+    first = rows.withColumn("value", broken)
+    again = rows.where((_is_broken(n) & (n % 2 == 0)) | (n % 10 == 0))
+    second = again.withColumn("offset_no", F.col("offset_no") + 10_000_000_000)
+    return first.drop("n"), second.drop("n")
+
+
+def _is_broken(n):
+    return (n % 67 == 0) | (n % 71 == 0) | (n % 73 == 0) | (n % 79 == 0)
+
+
+def _recovered(spark, sf_dir) -> Sinks:
+    """The payload stream over both deliveries, each its own micro-batch, with restarts."""
+    folder = f"{ensure_checkpoint_dir(spark)}/stream_recover-{uuid.uuid4().hex}"
+    sinks = Sinks.under(folder)
+    for part in payloads(spark, sf_dir):
+        part.write.mode("append").parquet(f"{folder}/topic")
+        raw = spark.readStream.schema(part.schema).parquet(f"{folder}/topic")
+        detect_payloads(raw, sinks, available_now=True).awaitTermination()
+    return sinks
+
+
+_BROKEN = "(n % 67 = 0 OR n % 71 = 0 OR n % 73 = 0 OR n % 79 = 0)"
+
+
+@check(
+    "stream_recover",
+    ("tx",),
+    f"""SELECT event_id, user_id, amount >= 1000000 AS large FROM tx
+        WHERE NOT {_BROKEN} OR n % 2 = 0""",
+)
+def stream_recover(spark, sf_dir):
+    """Results of the payload stream: every readable event once, repaired ones included."""
+    found = spark.read.parquet(_recovered(spark, sf_dir).results)
+    large = F.array_contains("matched_rules", "AMOUNT_THRESHOLD").alias("large")
+    return found.select("event_id", "user_id", large)
+
+
+@check(
+    "stream_dead_letters",
+    ("tx",),
+    f"""SELECT n AS source_offset, 'PAYLOAD_ERROR' AS failure_stage,
+          CASE WHEN n % 67 = 0 THEN 'MISSING_FIELD' WHEN n % 71 = 0 THEN 'INVALID_EVENT_TIME'
+               WHEN n % 73 = 0 THEN 'UNSUPPORTED_AMOUNT' ELSE 'UNPARSEABLE_PAYLOAD' END
+            AS error_type,
+          CASE WHEN n % 67 <> 0 AND n % 71 <> 0 AND n % 73 <> 0 THEN NULL ELSE event_id END
+            AS sent_event_id
+        FROM tx WHERE {_BROKEN}""",
+)
+def stream_dead_letters(spark, sf_dir):
+    """Dead letters of the payload stream with the event their envelope names."""
+    sinks = _recovered(spark, sf_dir)
+    keys = ["source_topic", "source_partition", "source_offset"]
+    dead = spark.read.parquet(sinks.dead_letters)
+    sent = spark.read.parquet(sinks.envelopes).select(
+        *keys, F.get_json_object("value", "$.eventId").alias("sent_event_id")
+    )
+    return dead.join(sent, keys).select(
+        "source_offset", "failure_stage", "error_type", "sent_event_id"
+    )
+
+
+@check(
+    "append_once_sink",
+    ("deliveries",),
+    """SELECT event_id, min(offset_no) AS offset_no, CAST(event_time AS DATE)::VARCHAR AS day
+       FROM deliveries GROUP BY event_id, 3""",
+)
+def append_once_sink(spark, sf_dir):
+    """The sink itself: all deliveries appended twice to a table with a partition per day."""
+    target = f"{ensure_checkpoint_dir(spark)}/append_once-{uuid.uuid4().hex}"
+    rows = tables.deliveries(spark, sf_dir).withColumn("day", F.to_date("event_time"))
+    rows = rows.select("event_id", "partition_no", "offset_no", "day")
+    for _ in range(2):
+        append_to(rows, target, ["event_id"], ["partition_no", "offset_no"], ["day"])
+    return spark.read.parquet(target).select("event_id", "offset_no", F.col("day").cast("string"))

@@ -184,11 +184,11 @@ def operations_summary(spark, sf_dir):
 
 @check(
     "counters",
-    ("light_results", "dlq", "reprocessed", "discarded"),
+    ("results", "dlq", "reprocessed", "discarded"),
     """SELECT counter, tag, count(*) AS n FROM (
-         SELECT 'detection_degraded' AS counter, '' AS tag FROM light_results WHERE degraded
+         SELECT 'detection_degraded' AS counter, '' AS tag FROM results WHERE degraded
          UNION ALL SELECT 'rule_skipped', unnest(string_split(skipped_rules, ','))
-           FROM light_results WHERE degraded
+           FROM results WHERE degraded
          UNION ALL SELECT 'dlt_published', '' FROM dlq
          UNION ALL SELECT 'dlt_reprocess_requested',
            CASE WHEN outcome = 'reprocessed' THEN 'success' ELSE 'failed' END FROM reprocessed
@@ -199,14 +199,14 @@ def operations_summary(spark, sf_dir):
 def counters(spark, sf_dir):
     audit = _reprocess(spark, sf_dir).audit.unionByName(_discard(spark, sf_dir).audit)
     return operations.operation_counters(
-        tables.light_results(spark, sf_dir), tables.dlq(spark, sf_dir), audit
+        tables.results(spark, sf_dir), tables.dlq(spark, sf_dir), audit
     )
 
 
 _LATENCIES = """SELECT latency, ms, risk_level FROM (
     SELECT risk_level, (epoch_us(received_at) // 1000) - (epoch_us(event_time) // 1000) AS ingest,
       (epoch_us(detected_at) // 1000) - (epoch_us(received_at) // 1000) AS detection,
-      (epoch_us(detected_at) // 1000) - (epoch_us(event_time) // 1000) AS end_to_end FROM light_results),
+      (epoch_us(detected_at) // 1000) - (epoch_us(event_time) // 1000) AS end_to_end FROM results),
   LATERAL (VALUES ('ingest', ingest), ('detection', detection), ('end_to_end', end_to_end))
     v(latency, ms) WHERE ms >= 0"""
 _POINTS = """count(*) AS n, quantile_cont(ms, 0.5) AS p50, quantile_cont(ms, 0.95) AS p95,
@@ -215,25 +215,25 @@ _POINTS = """count(*) AS n, quantile_cont(ms, 0.5) AS p50, quantile_cont(ms, 0.9
 
 @check(
     "latency_percentiles",
-    ("light_results",),
+    ("results",),
     f"SELECT latency, {_POINTS} FROM ({_LATENCIES}) GROUP BY latency",
 )
 def latency_percentiles(spark, sf_dir):
-    return operations.latency_percentiles(tables.light_results(spark, sf_dir))
+    return operations.latency_percentiles(tables.results(spark, sf_dir))
 
 
 @check(
     "latency_percentiles_by_level",
-    ("light_results",),
+    ("results",),
     f"SELECT latency, risk_level, {_POINTS} FROM ({_LATENCIES}) GROUP BY latency, risk_level",
 )
 def latency_percentiles_by_level(spark, sf_dir):
-    return operations.latency_percentiles(tables.light_results(spark, sf_dir), ["risk_level"])
+    return operations.latency_percentiles(tables.results(spark, sf_dir), ["risk_level"])
 
 
 @check(
     "slo_check",
-    ("light_results", "stored_results"),
+    ("results", "stored_results"),
     """SELECT t.metric, m.value, t.target,
          CASE WHEN t.metric = 'publish_success_rate' THEN m.value >= t.target
               ELSE m.value <= t.target END AS ok
@@ -243,14 +243,14 @@ def latency_percentiles_by_level(spark, sf_dir):
                ('duplicate_results', 0.0)) t(metric, target)
        LEFT JOIN (
          SELECT 'detection_p95_ms' AS metric, quantile_cont(
-             (epoch_us(detected_at) // 1000) - (epoch_us(received_at) // 1000), 0.95) AS value FROM light_results
+             (epoch_us(detected_at) // 1000) - (epoch_us(received_at) // 1000), 0.95) AS value FROM results
          UNION ALL SELECT 'duplicate_results', CAST(count(*) AS DOUBLE) FROM (
              SELECT event_id FROM stored_results GROUP BY 1 HAVING count(*) > 1)) m
          ON t.metric = m.metric""",
 )
 def slo_check(spark, sf_dir):
     p95 = (
-        operations.latency_percentiles(tables.light_results(spark, sf_dir))
+        operations.latency_percentiles(tables.results(spark, sf_dir))
         .filter("latency = 'detection'")
         .select(F.lit("detection_p95_ms").alias("metric"), F.col("p95").alias("value"))
     )
@@ -310,27 +310,27 @@ def dlq_backlog(spark, sf_dir):
 
 _WINDOWS = """SELECT alert, window_start, window_start + 300000 AS window_end, count(*) AS n
   FROM (SELECT alert, ((epoch_us(detected_at) // 1000) // 60000 - s) * 60000 AS window_start
-        FROM (SELECT 'FraudRedisDegradedIncreased' AS alert, detected_at FROM light_results
+        FROM (SELECT 'FraudRedisDegradedIncreased' AS alert, detected_at FROM results
                 WHERE degraded
               UNION ALL SELECT 'FraudRuleSkippedIncreased', detected_at
-                FROM light_results, (VALUES (0), (1)) r(x) WHERE degraded),
+                FROM results, (VALUES (0), (1)) r(x) WHERE degraded),
              (VALUES (0), (1), (2), (3), (4)) w(s)) GROUP BY 1, 2"""
 
 
-@check("alert_windows", ("light_results",), _WINDOWS)
+@check("alert_windows", ("results",), _WINDOWS)
 def alert_windows(spark, sf_dir):
-    return operations.alert_windows(tables.light_results(spark, sf_dir))
+    return operations.alert_windows(tables.results(spark, sf_dir))
 
 
 @check(
     "firing_alerts",
-    ("light_results",),
+    ("results",),
     f"""SELECT a.* FROM ({_WINDOWS}) a WHERE EXISTS (SELECT 1 FROM ({_WINDOWS}) b
           WHERE b.alert = a.alert AND b.window_end = a.window_end - 60000)""",
 )
 def firing_alerts(spark, sf_dir):
     return operations.firing_alerts(
-        operations.alert_windows(tables.light_results(spark, sf_dir))
+        operations.alert_windows(tables.results(spark, sf_dir))
     )
 
 

@@ -159,26 +159,6 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@one_plan
-def light_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored results for queries that do not look at windows: stateless rules only, the same
-    degraded rows marked."""
-    once = accepted(spark, sf_dir)
-    marked = once.withColumns(
-        {
-            "window_count": F.lit(0).cast("long"),
-            "window_sum": F.lit(0).cast("decimal(29,2)"),
-        }
-    )
-    scored = score_events(marked, baseline_rules(), degraded=F.col("n") % 19 == 0)
-    return scored.withColumn("detected_at", detected_at()).withColumn(
-        "rule_version",
-        F.when(F.col("n") % 23 == 0, F.lit(None).cast("string"))
-        .when(F.col("n") % 29 == 0, F.lit(" "))
-        .otherwise(F.col("rule_version")),
-    )
-
-
 @one_plan
 def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Receipts of accepted events; some were never published."""
@@ -209,7 +189,7 @@ def stored_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results that reached the table: published, rules did not fail, and not lost on the way
     (withdrawals of device 6); some were stored twice (withdrawals of device 5)."""
     lost = (F.col("event_type") == "WITHDRAWAL") & (F.col("device_id") == "dev-6")
-    rows = light_results(spark, sf_dir).filter((F.col("n") % 31 != 0) & ~rule_failed() & ~lost)
+    rows = results(spark, sf_dir).filter((F.col("n") % 31 != 0) & ~rule_failed() & ~lost)
     twice = (F.col("event_type") == "WITHDRAWAL") & (F.col("device_id") == "dev-5")
     return rows.unionByName(rows.filter(twice))
 

@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Any
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ledgerwatch.config import STATE_TTL_MS, WINDOW_MS
 from ledgerwatch.functions.times import epoch_ms
+from ledgerwatch.operators import arrival
 from ledgerwatch.operators.arrival import RecentEntries
 from ledgerwatch.schemas import AMOUNT
 
+# The worker that prepares the state on the driver does not see shipped files, so the
+# processor and what it uses travel inside the plan.
+for _module in (arrival, sys.modules[__name__]):
+    cloudpickle.register_pickle_by_value(_module)
+
 _OUT = (
     "user_id string, event_id string, payload string, "
     "window_count long, window_sum decimal(38,12), duplicate boolean"
