@@ -450,6 +450,63 @@ def leak_scan_json(spark, sf_dir):
     )
 
 
+@check(
+    "leak_scan_nested",
+    ("replay_input",),
+    """SELECT row_number, concat_ws(',',
+          CASE WHEN r % 5 = 0 THEN 'RAW_IDENTIFIER_FIELD:nameOrig' END,
+          CASE WHEN r % 3 = 0 THEN 'LABEL_FIELD:isFraud' END,
+          CASE WHEN r % 7 = 0 THEN 'SALT_FIELD' END,
+          CASE WHEN r % 11 = 0 OR r % 13 = 0 OR r % 17 = 0 THEN 'RAW_IDENTIFIER_VALUE' END)
+          AS leaks, r % 3 = 0 AS labelled, r % 7 = 0 AS salted,
+          r % 11 = 0 OR r % 13 = 0 AS named
+        FROM (SELECT row_number, row_number AS r FROM replay_input)""",
+)
+def leak_scan_nested(spark, sf_dir):
+    """Leaks in arrays, maps and escaped JSON: labels in an array of structs, salts and
+    identifiers in map keys and values, and the same written with escapes."""
+    r = F.col("row_number")
+    events = tables.replay_input(spark, sf_dir)
+    text = lambda test, value, other: F.when(test, F.lit(value)).otherwise(F.lit(other))
+    payload = F.concat(
+        F.lit('{"list":[{"'),
+        text(r % 3 == 0, "isFr\\u0061ud", "kind"),
+        F.lit('":true},{"deep":{"'),
+        text(r % 5 == 0, "name\\u004frig", "name"),
+        F.lit('":"a\\"b:"}}],"'),
+        text(r % 7 == 0, "my\\u0053altX", "hashSaltSource"),
+        F.lit('":"'),
+        text(r % 11 == 0, "x\\nC1234567890", "nC12345x"),
+        F.lit('","'),
+        text(r % 13 == 0, "by C123456", "by"),
+        F.lit('":"'),
+        text(r % 17 == 0, "\\u00431234567", "D1234567"),
+        F.lit('"}'),
+    )
+    found = leaks.scan_json_leaks(payload, forbid_labels=True, forbid_salt=True)
+    labelled = F.array(F.struct(F.when(r % 3 == 0, F.lit(True)).alias("isFraud")))
+    notes = F.create_map(
+        text(r % 7 == 0, "mySaltX", "hashSaltSource"),
+        text(r % 11 == 0, "x\nC1234567890", "none"),
+        text(r % 13 == 0, "by C123456", "by"),
+        F.lit("none"),
+    )
+    typed = events.select(
+        "row_number", found.alias("json"), F.array(labelled).alias("lists"), notes.alias("notes")
+    )
+    scanned = leaks.scan_leaks(
+        typed, forbid_labels=True, forbid_salt=True, skip=("row_number", "json")
+    )
+    has = lambda code: F.array_contains("leaks", code)
+    return scanned.select(
+        "row_number",
+        F.col("json").alias("leaks"),
+        has("LABEL_FIELD:isFraud").alias("labelled"),
+        has("SALT_FIELD").alias("salted"),
+        has("RAW_IDENTIFIER_VALUE").alias("named"),
+    )
+
+
 _EVENT_CODES = {
     "MISSING_FIELD:traceId": "traceId IS NULL",
     "RAW_IDENTIFIER_VALUE": f"regexp_matches(userId, '{RAW_ID}')",

@@ -14,7 +14,6 @@ from ledgerwatch.config import (
     SALT_FIELDS,
     SALT_SOURCE_FIELD,
 )
-from ledgerwatch.functions.text import any_of
 
 
 def holds_raw_id(value: Column) -> Column:
@@ -38,6 +37,24 @@ def forbidden_kind(
     return None
 
 
+def key_checks(
+    keys: Column, forbid_labels: bool, forbid_salt: bool, forbid_report: bool
+) -> list[tuple[Column, str]]:
+    """(violated, code) for names that are only known from the data: the forbidden ones by
+    name, any other that speaks of salt, and names that hold an identifier."""
+    checks = [
+        (F.coalesce(F.array_contains(keys, name), F.lit(False)), f"{kind}:{name}")
+        for name in dict.fromkeys(_known_fields())
+        if (kind := forbidden_kind(name, forbid_labels, forbid_salt, forbid_report))
+    ]
+    if forbid_salt:
+        known = [*SALT_FIELDS, SALT_SOURCE_FIELD]
+        other = F.exists(keys, lambda k: F.lower(k).contains("salt") & ~k.isin(*known))
+        checks.append((F.coalesce(other, F.lit(False)), "SALT_FIELD"))
+    named = F.coalesce(F.exists(keys, holds_raw_id), F.lit(False))
+    return [*checks, (named, "RAW_IDENTIFIER_VALUE")]
+
+
 def leaf_checks(
     schema: T.StructType,
     forbid_labels: bool = False,
@@ -60,28 +77,20 @@ def leaf_checks(
         if isinstance(dtype, T.StructType):
             return [c for f in dtype.fields for c in walk(value[f.name], f.dataType, f.name)]
         if isinstance(dtype, T.MapType):
-            keys = F.map_keys(value)
-            banned = [
-                (F.coalesce(F.array_contains(keys, k), F.lit(False)), k)
-                for k in _known_fields()
-                if forbidden_kind(k, forbid_labels, forbid_salt, forbid_report)
-            ]
-            out = [
-                (
-                    test,
-                    f"{forbidden_kind(k, forbid_labels, forbid_salt, forbid_report)}:{k}",
-                )
-                for test, k in banned
-            ]
-            return out + walk(F.map_values(value), T.ArrayType(dtype.valueType), "")
+            values = walk(F.map_values(value), T.ArrayType(dtype.valueType), "")
+            if not isinstance(dtype.keyType, T.StringType):
+                return values
+            return key_checks(F.map_keys(value), forbid_labels, forbid_salt, forbid_report) + values
         if isinstance(dtype, T.ArrayType):
             inner = dtype.elementType
-            if not _has_text(inner):
-                return []
-            test = F.exists(
-                value, lambda item: any_of([c for c, _ in walk(item, inner, "")])
-            )
-            return [(F.coalesce(test, F.lit(False)), "RAW_IDENTIFIER_VALUE")]
+            codes = [code for _, code in walk(F.lit(None).cast(inner), inner, "")]
+
+            def test(i: int):
+                return lambda item: walk(item, inner, "")[i][0]
+
+            # One test per rule of the element, so that each keeps its own code.
+            found = [F.exists(value, test(i)) for i in range(len(codes))]
+            return [(F.coalesce(t, F.lit(False)), c) for t, c in zip(found, codes, strict=True)]
         return []
 
     return [
@@ -96,14 +105,6 @@ def _known_fields() -> tuple[str, ...]:
     return RAW_ID_FIELDS + LABEL_FIELDS + SALT_FIELDS + REPORT_FORBIDDEN_FIELDS
 
 
-def _has_text(dtype: T.DataType) -> bool:
-    if isinstance(dtype, T.StructType):
-        return any(_has_text(f.dataType) for f in dtype.fields)
-    if isinstance(dtype, T.ArrayType):
-        return _has_text(dtype.elementType)
-    return isinstance(dtype, (T.StringType, T.MapType))
-
-
 def scan_leaks(
     df: DataFrame,
     forbid_labels: bool = False,
@@ -119,28 +120,39 @@ def scan_leaks(
     return df.withColumn("leaks", F.array_distinct(F.array_compact(codes)))
 
 
+# A string of a JSON text, its text in group 1, a colon in group 2 if it is a key. Written with
+# possessive repetition, so that long strings take no stack.
+_JSON_STRING = r'"([^"\\]*+(?:\\.[^"\\]*+)*+)"(\s*:)?'
+
+
+def json_strings(payload: Column, keys: bool) -> Column:
+    """The decoded keys, or the decoded string values, of a JSON text at any depth."""
+    texts = F.regexp_extract_all(payload, F.lit(_JSON_STRING), 1)
+    colons = F.regexp_extract_all(payload, F.lit(_JSON_STRING), 2)
+    both = F.arrays_zip(texts.alias("text"), colons.alias("colon"))
+    wanted = F.filter(both, lambda s: (s["colon"] != "") if keys else (s["colon"] == ""))
+
+    def decoded(item: Column) -> Column:
+        quoted = F.concat(F.lit('["'), item["text"], F.lit('"]'))
+        plain = F.get(F.from_json(quoted, "array<string>"), 0)
+        return F.when(item["text"].contains("\\"), F.coalesce(plain, item["text"])).otherwise(
+            item["text"]
+        )
+
+    return F.transform(wanted, decoded)
+
+
 def scan_json_leaks(
     payload: Column,
     forbid_labels: bool = False,
     forbid_salt: bool = False,
     forbid_report: bool = False,
 ) -> Column:
-    """Leak codes of a JSON text of unknown depth.
-
-    A key is a quoted name before a colon whose opening quote is not escaped, at any depth;
-    quotes inside string values are always escaped in JSON, so values cannot look like keys.
-    """
-
-    def has_key(pattern: str) -> Column:
-        return F.coalesce(payload.rlike(r'(?<!\\)"' + pattern + r'"\s*:'), F.lit(False))
-
-    checks = [
-        (has_key(name), f"{kind}:{name}")
-        for name in RAW_ID_FIELDS + LABEL_FIELDS + REPORT_FORBIDDEN_FIELDS
-        if (kind := forbidden_kind(name, forbid_labels, False, forbid_report))
-    ]
-    if forbid_salt:
-        other_salt = rf"(?!{SALT_SOURCE_FIELD}\")[^\"\\]*[sS][aA][lL][tT][^\"\\]*"
-        checks.append((has_key(other_salt), "SALT_FIELD"))
-    checks.append((holds_raw_id(payload), "RAW_IDENTIFIER_VALUE"))
-    return F.array_compact(F.array(*[F.when(test, F.lit(code)) for test, code in checks]))
+    """Leak codes of a JSON text of unknown depth, from its decoded keys and string values:
+    what is written with escapes counts as what it stands for."""
+    keys = json_strings(payload, keys=True)
+    checks = key_checks(keys, forbid_labels, forbid_salt, forbid_report)
+    values = F.exists(json_strings(payload, keys=False), holds_raw_id)
+    checks.append((F.coalesce(values, F.lit(False)), "RAW_IDENTIFIER_VALUE"))
+    codes = F.array(*[F.when(test, F.lit(code)) for test, code in checks])
+    return F.array_distinct(F.array_compact(codes))
