@@ -882,6 +882,45 @@ def threshold_regression(spark, sf_dir):
     )
 
 
+@check(
+    "evaluate_violations",
+    ("sim_labels", "sim_results"),
+    """SELECT 'labels' AS part, eventId AS event_id, 'DUPLICATE_LABEL' AS problem
+       FROM sim_labels WHERE n % 41 = 0
+       UNION ALL SELECT 'labels', eventId, 'MISSING_FIELD:isFraud' FROM sim_labels
+         WHERE n % 61 = 0
+       UNION ALL SELECT 'labels', eventId, 'MISSING_FIELD:isFraud' FROM sim_labels
+         WHERE n % 61 = 0 AND n % 41 = 0
+       UNION ALL SELECT 'results', event_id, 'RISK_LEVEL' FROM sim_results WHERE n % 43 = 0
+       UNION ALL SELECT 'results', event_id, 'RISK_SCORE_RANGE' FROM sim_results
+         WHERE n % 47 = 0
+       UNION ALL SELECT 'results', event_id, 'RULE_VERSION_MISMATCH' FROM sim_results
+         WHERE n % 53 = 0""".replace(
+        "FROM sim_labels", "FROM (SELECT *, row_number AS n FROM sim_labels)"
+    ).replace(
+        "FROM sim_results",
+        "FROM (SELECT *, CAST(split_part(event_id, '-', -1) AS BIGINT) AS n FROM sim_results)",
+    ),
+)
+def evaluate_violations(spark, sf_dir):
+    """What an evaluation refuses: labels given twice or without verdict, results of unknown
+    level, with a score above 100, or of another rule version."""
+    n = F.col("row_number")
+    labels = tables.sim_labels(spark, sf_dir).withColumn(
+        "isFraud", F.when(n % 61 != 0, F.col("isFraud"))
+    )
+    labels = labels.unionByName(labels.filter(n % 41 == 0))
+    k = F.substring_index("eventId", "-", -1).cast("long")
+    results = tables.sim_results(spark, sf_dir).withColumns(
+        {
+            "riskLevel": F.when(k % 43 == 0, F.lit("BOGUS")).otherwise(F.col("riskLevel")),
+            "riskScore": F.when(k % 47 == 0, F.lit(150.0)).otherwise(F.col("riskScore")),
+            "ruleVersion": F.when(k % 53 == 0, F.lit("rule-v1")).otherwise(F.col("ruleVersion")),
+        }
+    )
+    return ev.input_violations(labels, results, OPTIONS)
+
+
 @check(
     "evaluate",
     ("summary", "decided"),

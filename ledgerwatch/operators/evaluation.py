@@ -2,8 +2,9 @@
 
 ``join_labels_results`` brings labels, results and pre-send rejects together in one co-keyed
 join. ``evaluation_cube`` reduces that to counts per combination of the few categorical facts
-the report needs; every metric and distribution is then a tiny aggregate of the cube, so the
-data is read and joined once however many numbers (or threshold policies) are asked for.
+the report needs; every metric and distribution is then a tiny aggregate of the cube, so all
+numbers of all threshold policies come from one join. ``evaluate`` reads its input twice more:
+for the checks of its contract, and for the ids given as evidence.
 """
 
 from __future__ import annotations
@@ -26,6 +27,12 @@ from ledgerwatch.config import (
 )
 from ledgerwatch.functions.numbers import ratio
 from ledgerwatch.functions.text import csv_to_array, starts_with_any
+from ledgerwatch.operators.quality import (
+    check_results,
+    check_rule_version,
+    duplicate_keys,
+    label_violations,
+)
 from ledgerwatch.operators.replay import strip_event_id_prefix
 from ledgerwatch.operators.typemap import map_native_type
 
@@ -38,6 +45,8 @@ class EvaluationOptions:
     exclude_replay_rejected: bool = True
     include_missing_results: bool = False
     require_rule_version: bool = False
+    # Refuse labels and results that break the input contract, see ``input_violations``.
+    check_inputs: bool = True
 
 
 # ---------------------------------------------------------------- results
@@ -488,6 +497,48 @@ def evidence_ids(
     return joined.filter(counted).select("event_id").orderBy("event_id").limit(n)
 
 
+def input_violations(
+    labels: DataFrame, results: DataFrame, options: EvaluationOptions | None = None
+) -> DataFrame:
+    """(part, event_id, problem) for every row an evaluation must not count: labels and
+    results without id, repeated ids, unknown levels, scores outside 0 to 100, another rule
+    version, labels without a verdict, and fields or values that must not be there."""
+    options = options or EvaluationOptions()
+    checked = label_violations(labels, strict=False).select(
+        F.col("eventId").alias("event_id"), "violations"
+    )
+    broken = checked.select("event_id", F.explode_outer("violations").alias("problem"))
+    broken = broken.filter("problem IS NOT NULL")
+    repeated = duplicate_keys(checked.filter("event_id IS NOT NULL"), ["event_id"]).select(
+        "event_id", F.lit("DUPLICATE_LABEL").alias("problem")
+    )
+    prefix = options.event_id_prefix
+    other = check_rule_version(results, options.rule_version).select(
+        strip_event_id_prefix(F.col("eventId"), prefix).alias("event_id"), "problem"
+    )
+    found = check_results(results, prefix).unionByName(other)
+    return (
+        broken.unionByName(repeated)
+        .select(F.lit("labels").alias("part"), "event_id", "problem")
+        .unionByName(found.select(F.lit("results").alias("part"), "event_id", "problem"))
+    )
+
+
+def _refuse(summary: DataFrame, violations: DataFrame) -> DataFrame:
+    """The summary, or a failing job that says which rules are broken how often."""
+    counts = violations.groupBy("part", "problem").agg(F.count("*").alias("n"))
+    said = F.concat_ws(" ", "part", "problem", F.col("n").cast("string"))
+    # One row: the rules are few.
+    text = counts.agg(F.array_join(F.array_sort(F.collect_list(said)), "; ").alias("__broken"))
+    both = summary.withColumn("__one", F.lit(1)).join(text.withColumn("__one", F.lit(1)), "__one")
+    sound = F.when(F.col("__broken") == "", F.lit(True)).otherwise(
+        F.raise_error(F.concat(F.lit("input breaks the contract: "), F.col("__broken"))).cast(
+            "boolean"
+        )
+    )
+    return both.filter(sound).drop("__one", "__broken")
+
+
 def evaluate(
     labels: DataFrame,
     results: DataFrame,
@@ -497,8 +548,9 @@ def evaluate(
 ) -> DataFrame:
     """The evaluation report: one row per threshold version, distributions as maps.
 
-    ``rejects`` has (eventId, reason) of events that failed before sending. With
-    ``require_rule_version`` the job fails when an evaluated result has no version.
+    ``rejects`` has (eventId, reason) of events that failed before sending. The job fails on
+    input that breaks the contract (``check_inputs``), and with ``require_rule_version`` when
+    an evaluated result has no version.
     """
     options = options or EvaluationOptions()
     prefix = options.event_id_prefix
@@ -508,6 +560,8 @@ def evaluate(
     joined = join_labels_results(labels, normalize_results(results, prefix), ids)
     cube = evaluation_cube(joined, options.threshold_versions)
     summary = evaluation_summary(cube, options, payload_rejected)
+    if options.check_inputs:
+        summary = _refuse(summary, input_violations(labels, results, options))
     if options.require_rule_version:
         lack = F.col("resultsWithoutRuleVersion")
         text = F.concat(
@@ -540,7 +594,7 @@ def evaluate(
         "denominatorExcludedNativeTypeDistribution",
     )
     empty = F.create_map().cast("map<string,bigint>")
-    # One row of samples for one row per policy: keyed join on a constant, both sides tiny.
+    # One row of samples for one row per policy: joined on a constant, both sides tiny.
     return (
         summary.join(spread, "threshold_version", "left")
         .withColumn("__one", F.lit(1))

@@ -219,11 +219,10 @@ def scoring_columns(events: DataFrame) -> DataFrame:
     def exact(value: str) -> Column:
         text = F.col(value)
         largest = F.lit("9" * 26).cast(AMOUNT)
-        huge = F.length(F.regexp_extract(text, r"^-?(\d*)", 1)) > 26
-        clamped = F.when(text.startswith("-"), -largest).otherwise(largest)
+        clamped = F.when(text.startswith("-"), -largest).when(text.isNotNull(), largest)
         # Decimals beyond the twelfth are cut, which moves no value across a threshold.
         cut = F.regexp_replace(text, r"(\.\d{12})\d+$", "$1")
-        return F.when(huge, clamped).otherwise(cut.try_cast(AMOUNT))
+        return F.coalesce(cut.try_cast(AMOUNT), clamped)
 
     return events.select(
         F.col("eventId").alias("event_id"),

@@ -235,3 +235,27 @@ def test_sound_dataset_has_no_violations(spark):
     }
     with pytest.raises(Exception, match="EVENT_WITHOUT_LABEL"):
         validate_dataset(parts.events, fewer, parts.rejected, fail_fast=True).collect()
+
+
+def test_evaluate_refuses_what_breaks_the_contract(spark):
+    good = [("p1", True, False, 1, "TRANSFER"), ("p2", False, False, 1, "PAYMENT")]
+    label_ddl = "eventId string, isFraud boolean, sourceFlaggedFraud boolean, sourceStep int, sourceType string"
+    result_ddl = "eventId string, riskLevel string, riskScore double, ruleVersion string, ruleCodes array<string>"
+    version = ev.RULE_VERSION
+    fine = [("p1", "HIGH", 85.0, version, ["A"]), ("p2", "LOW", 10.0, None, [])]
+    bad = {
+        "DUPLICATE_LABEL": (good + good[:1], fine),
+        "DUPLICATE_RESULT": (good, fine + fine[:1]),
+        "RISK_LEVEL": (good, [("p1", "BOGUS", 85.0, version, [])]),
+        "RISK_SCORE_RANGE": (good, [("p1", "HIGH", 150.0, version, [])]),
+        "RULE_VERSION_MISMATCH": (good, [("p1", "HIGH", 85.0, "rule-v1", [])]),
+        "RAW_IDENTIFIER_VALUE": (good, [("p1", "HIGH", 85.0, version, ["C12345"])]),
+    }
+
+    def report(labels, results):
+        return ev.evaluate(spark.createDataFrame(labels, label_ddl), spark.createDataFrame(results, result_ddl)).first()
+
+    assert report(good, fine)["truePositive"] == 1
+    for problem, (labels, results) in bad.items():
+        with pytest.raises(Exception, match=problem):
+            report(labels, results)
