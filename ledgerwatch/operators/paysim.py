@@ -212,17 +212,15 @@ def rejects_of(tagged: DataFrame) -> DataFrame:
 
 
 def scoring_columns(events: DataFrame) -> DataFrame:
-    """Typed inputs of the balance rules, taken from prepared events. Amounts are exact to
-    26 whole digits; larger ones count as the largest of these, which no threshold tells
-    apart."""
+    """Typed inputs of the balance rules, taken from prepared events. Amounts hold 26 whole
+    digits and twelve decimals; larger ones count as 10^25, which no threshold tells apart.
+
+    Kept short: the planner copies these expressions into every rule that reads them."""
 
     def exact(value: str) -> Column:
         text = F.col(value)
-        largest = F.lit("9" * 26).cast(AMOUNT)
-        clamped = F.when(text.startswith("-"), -largest).when(text.isNotNull(), largest)
-        # Decimals beyond the twelfth are cut, which moves no value across a threshold.
-        cut = F.regexp_replace(text, r"(\.\d{12})\d+$", "$1")
-        return F.coalesce(cut.try_cast(AMOUNT), clamped)
+        huge = F.signum(text.try_cast("double")) * 1e25
+        return F.coalesce(text.try_cast(AMOUNT), huge.try_cast(AMOUNT))
 
     return events.select(
         F.col("eventId").alias("event_id"),
