@@ -38,17 +38,22 @@ def forbidden_kind(
 
 
 def key_checks(
-    keys: Column, forbid_labels: bool, forbid_salt: bool, forbid_report: bool
+    keys: Column,
+    forbid_labels: bool,
+    forbid_salt: bool,
+    forbid_report: bool,
+    name_salts: bool = True,
 ) -> list[tuple[Column, str]]:
     """(violated, code) for names that are only known from the data: the forbidden ones by
-    name, any other that speaks of salt, and names that hold an identifier."""
+    name, any other that speaks of salt, and names that hold an identifier. Without
+    ``name_salts`` the known salt fields have the common code too."""
     checks = [
         (F.coalesce(F.array_contains(keys, name), F.lit(False)), f"{kind}:{name}")
         for name in dict.fromkeys(_known_fields())
-        if (kind := forbidden_kind(name, forbid_labels, forbid_salt, forbid_report))
+        if (kind := forbidden_kind(name, forbid_labels, forbid_salt and name_salts, forbid_report))
     ]
     if forbid_salt:
-        known = [*SALT_FIELDS, SALT_SOURCE_FIELD]
+        known = [*(SALT_FIELDS if name_salts else ()), SALT_SOURCE_FIELD]
         other = F.exists(keys, lambda k: F.lower(k).contains("salt") & ~k.isin(*known))
         checks.append((F.coalesce(other, F.lit(False)), "SALT_FIELD"))
     named = F.coalesce(F.exists(keys, holds_raw_id), F.lit(False))
@@ -151,7 +156,7 @@ def scan_json_leaks(
     """Leak codes of a JSON text of unknown depth, from its decoded keys and string values:
     what is written with escapes counts as what it stands for."""
     keys = json_strings(payload, keys=True)
-    checks = key_checks(keys, forbid_labels, forbid_salt, forbid_report)
+    checks = key_checks(keys, forbid_labels, forbid_salt, forbid_report, name_salts=False)
     values = F.exists(json_strings(payload, keys=False), holds_raw_id)
     checks.append((F.coalesce(values, F.lit(False)), "RAW_IDENTIFIER_VALUE"))
     codes = F.array(*[F.when(test, F.lit(code)) for test, code in checks])
