@@ -10,7 +10,7 @@ or more is a run of windows. An item of fewer than 13 words is a pattern, and a
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import ahocorasick
 import numpy as np
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerwatch.llm.common import ready, wide_hash
+from ledgerwatch.llm.common import ready, wide_hash, written
 from ledgerwatch.llm.textbatch import LOWER, PLAIN, Batch, batch_of, words_of
 
 WINDOW = 13
@@ -161,6 +161,24 @@ def item_parts(benchmark: DataFrame) -> list[tuple[tuple[int, str], ...]]:
     ]
 
 
+def _scanned(docs: DataFrame, parts) -> DataFrame:
+    """(doc_id, key1, key2, n_words, runs) for every row and each part where it has runs; the
+    keys are those of ``document_keys``."""
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    key1, key2 = document_keys()
+    docs = docs.withColumn("key1", key1).withColumn("key2", key2)
+    schema = f"doc_id long, key1 long, key2 long, n_words long, runs {_RUNS_SQL}"
+    found = [docs.mapInArrow(_scanner(own), schema) for own in parts]
+    if len(found) == 1:
+        return found[0]
+    return reduce(DataFrame.union, [each.where(F.size("runs") > 0) for each in found])
+
+
+def document_keys() -> list[Column]:
+    """Hashes of doc_id and text, never null: rows with equal keys are judged alike."""
+    return wide_hash(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
 def contamination_runs(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, n_words, runs) for every row of ``docs(doc_id, text)``.
 
@@ -170,20 +188,14 @@ def contamination_runs(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     without item_id is found like others, with a null id. Further columns are ignored.
     """
     ready(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    key1, key2 = wide_hash(F.col("doc_id"), F.col("text"))
-    docs = docs.withColumn("key1", key1).withColumn("key2", key2)
-    schema = f"doc_id long, key1 long, key2 long, n_words long, runs {_RUNS_SQL}"
-    found = [docs.mapInArrow(_scanner(own), schema) for own in item_parts(benchmark)]
-    if len(found) == 1:
-        return found[0].drop("key1", "key2")
-    hits = found[0].where(F.size("runs") > 0)
-    for more in found[1:]:
-        hits = hits.union(more.where(F.size("runs") > 0))
-    hits = hits.groupBy("key1", "key2").agg(
+    parts = item_parts(benchmark)
+    found = _scanned(docs, parts)
+    if len(parts) == 1:
+        return found.drop("key1", "key2")
+    hits = found.groupBy("key1", "key2").agg(
         F.array_distinct(F.flatten(F.collect_set("runs"))).alias("all_runs")
     )
-    counted = docs.mapInArrow(_scanner(()), schema)
+    counted = _scanned(docs, [()])
     return counted.join(hits, ["key1", "key2"], "left").select(
         "doc_id", "n_words", F.coalesce("all_runs", "runs").alias("runs")
     )
@@ -207,13 +219,23 @@ def hit_words(runs: str = "runs") -> Column:
     )
 
 
+def contaminated(n_hit: Column, n_words: Column) -> Column:
+    return (n_hit > 0) & (20 * n_hit >= n_words)
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with all their columns."""
     parts = item_parts(benchmark)
     if len(parts) > 1:
-        judged = contamination(docs, benchmark).where("contaminated").select("doc_id").distinct()
-        named = docs.where("doc_id is not null").join(judged, "doc_id", "left_anti")
-        return named.select(docs.columns).union(docs.where("doc_id is null"))
+        # By document, not by id: ids may be null, or stand for several texts.
+        ready(docs.sparkSession)
+        found = _scanned(docs, parts).groupBy("key1", "key2")
+        found = found.agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_set("runs")).alias("runs"))
+        bad = found.where(contaminated(hit_words(), F.col("n_words")))
+        bad = written(bad.select(F.col("key1").alias("__key1"), F.col("key2").alias("__key2")), "bad")
+        key1, key2 = document_keys()
+        keyed = docs.withColumn("__key1", key1).withColumn("__key2", key2)
+        return keyed.join(bad, ["__key1", "__key2"], "left_anti").select(docs.columns)
     ready(docs.sparkSession)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,6 +265,4 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.array_distinct(F.transform(F.expr("filter(runs, r -> r.item_id is not null)"), lambda r: r["item_id"].cast("string")))
     )
     judged = runs.select("doc_id", "n_words", hit_words().alias("n_hit"), ids.alias("items"), "runs")
-    return judged.withColumn(
-        "contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
-    )
+    return judged.withColumn("contaminated", contaminated(F.col("n_hit"), F.col("n_words")))

@@ -136,6 +136,21 @@ def test_contamination_like_brute_force(spark, monkeypatch, part_bytes):
     assert empty.where("contaminated").count() == 0
 
 
+@pytest.mark.parametrize("part_bytes", [1 << 20, 60])
+def test_contaminated_rows_go_whatever_their_id(spark, monkeypatch, part_bytes):
+    monkeypatch.setattr(decontam, "PART_BYTES", part_bytes)
+    items = [(i, " ".join(f"b{i}x{j}" for j in range(20))) for i in range(6)]
+    bad, fine = f"see {items[2][1]} there", "a text of its own words"
+    rows = [(None, bad), (None, fine), (None, None), (1, bad), (1, fine), (1, None), (2, fine), (2, fine), (3, bad)]
+    docs = docs_of(spark, [(*r, "en", "s") for r in rows])
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert (len(decontam.item_parts(bench)) > 1) == (part_bytes == 60)
+    kept = decontam.drop_contaminated(docs, bench)
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert got == sorted((r for r in rows if r[1] != bad), key=str)
+
+
 def brute_base(text):
     text = text or ""
     kinds = {"assign": 0, "access": 1, "hex": 2}
