@@ -1,8 +1,9 @@
 """URL verdicts by rules and by trust and distrust that spread over links between hosts.
 
-Trust is a personalised PageRank from trusted hosts along links; distrust is one from blocked
-hosts against them, for a host that links to bad ones is suspect. Only DataFrame functions are
-used.
+Trust spreads from trusted hosts along links; distrust spreads from blocked hosts against them,
+for a host that links to bad ones is suspect. ``spread`` is the PageRank that deals a host's
+score out over its links. Verdicts compare what each host sees itself (``seen``), which does not
+thin out with the number of seeds or of other hosts round one. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -20,9 +21,8 @@ STEPS = 40
 CLOSE = 1e-6
 # A host is a seed if rules block (or allow) more than half of its pages.
 SEED_SHARE = 0.5
-# A host is blocked if its distrust exceeds its trust and the mean distrust of all hosts.
+# A host is blocked if its distrust exceeds so many times its trust.
 RATIO = 1.0
-ABOVE_MEAN = 1.0
 
 
 @dataclass(frozen=True)
@@ -132,12 +132,45 @@ def spread(links: DataFrame, seeds: DataFrame) -> DataFrame:
     return scores
 
 
+def seen(links: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(kind, host, score) for every kind of ``seeds(kind, host)``: seeds have 1, and a host has
+    DAMPING times the mean score of those it gets score from over ``links(kind, src, dst, n)``.
+
+    It is the PageRank of the seeds in a walk from the host itself, over that of a seed in a
+    walk from itself: how surely, at DAMPING a link, the walk meets a seed. So it depends only
+    on where the host's own walk leads. Each step lowers what is missing by DAMPING at least;
+    steps end when no score changes by CLOSE.
+    """
+    into = links.groupBy("kind", "dst").agg(F.sum("n").alias("all"))
+    flow = links.join(into, ["kind", "dst"]).select(
+        "kind", "src", F.col("dst").alias("host"), (DAMPING * F.col("n") / F.col("all")).alias("share")
+    )
+    flow = written(flow.join(seeds, ["kind", "host"], "left_anti"), "flow")
+    start = written(seeds.select("kind", "host", F.lit(1.0).alias("score")), "seeds")
+    scores = start
+    while True:
+        came = (
+            scores.withColumnRenamed("host", "src")
+            .join(flow, ["kind", "src"])
+            .groupBy("kind", "host")
+            .agg(F.sum(F.col("score") * F.col("share")).alias("score"))
+        )
+        was = scores.withColumnRenamed("score", "was")
+        after = start.unionByName(came).join(was, ["kind", "host"], "left")
+        after = written(after, "scores")
+        change = after.agg(F.max(F.col("score") - F.coalesce("was", F.lit(0.0)))).first()[0] or 0.0
+        scores = after.drop("was")
+        if change < CLOSE:
+            return scores
+
+
 def judge_pages(pages: DataFrame, rules: list[Rule]) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) for every row of
     ``pages(page_id, url, html)``.
 
-    The rule's verdict holds where one fits; else the host is judged by what has spread to it,
-    and a page without host, or of a host no mass has reached, is allowed. Null urls and urls
+    The rule's verdict holds where one fits; else the host is blocked if its distrust exceeds
+    its trust, both as ``seen`` by itself. A page without host, or of a host that neither has
+    reached, is allowed. Null urls and urls
     without ``://`` have no host and no path. Null and empty html has no links. Repeated rows
     are judged alike; further columns are ignored. An empty table gives an empty result.
     """
@@ -163,7 +196,7 @@ def judge_pages(pages: DataFrame, rules: list[Rule]) -> DataFrame:
     seeds = seeds.union(
         known.where(F.col("blocked") > SEED_SHARE * F.col("n")).select(F.lit("distrust"), "host")
     )
-    scores = spread(both, seeds)
+    scores = seen(both, seeds)
     hosts = scores.groupBy("host").agg(
         F.coalesce(F.sum(F.when(F.col("kind") == "trust", F.col("score"))), F.lit(0.0)).alias(
             "trust"
@@ -172,10 +205,8 @@ def judge_pages(pages: DataFrame, rules: list[Rule]) -> DataFrame:
             "distrust"
         ),
     )
-    hosts = written(hosts, "judged")
-    mean = hosts.agg(F.avg("distrust")).first()[0] or 0.0
     judged = ruled.select("page_id", "host", "path", "found").join(hosts, "host", "left")
-    bad = (F.col("distrust") > RATIO * F.col("trust")) & (F.col("distrust") >= ABOVE_MEAN * mean)
+    bad = F.col("distrust") > RATIO * F.col("trust")
     spread_verdict = F.when(F.coalesce(bad, F.lit(False)), "block").otherwise("allow")
     return judged.select(
         "page_id",

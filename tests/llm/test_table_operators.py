@@ -261,6 +261,39 @@ def test_url_verdicts(spark):
     assert linkrank.judge_pages(pages.where("false"), RULES).count() == 0
 
 
+@pytest.mark.parametrize("m,others", [(1, 0), (10, 0), (1000, 0), (1, 1200), (10, 1200), (1000, 500), (1000, 1200)])
+def test_hosts_round_a_blocked_one_are_blocked_whatever_their_number(spark, m, others):
+    link = lambda h: f'<a href="https://{h}/x">x</a>'
+    hub = "".join(link(f"fine{i}.com") for i in range(others))
+    rows = [(-1, "https://bad.net/p", None), (-2, "https://good.org/fr/a", hub + link("both.com"))]
+    rows += [(-3, "https://both.com/", link("bad.net") + link("a.com") + link("b.com")), (-4, "https://a.com/", link("b.com"))]
+    rows += [(-5, "https://far.com/", link("farm0.com"))]
+    rows += [(i, f"https://farm{i}.com/", link("bad.net")) for i in range(m)]
+    rows += [(10_000 + i, f"https://fine{i}.com/", None) for i in range(others)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = linkrank.judge_pages(pages, RULES).collect()
+    got = {r.page_id: (r.verdict, r.trust, r.distrust) for r in found}
+    assert {got[i][0] for i in [*range(m), -1, -5]} == {"block"}
+    assert all(got[i][1] == 0 and abs(got[i][2] - 0.85) < 1e-5 for i in range(m))
+    assert abs(got[-5][2] - 0.85**2) < 1e-5
+    assert {got[i][0] for i in got if i >= 10_000 or i in (-2, -3, -4)} == {"allow"}
+
+
+def test_seen_like_iteration(spark):
+    rng = random.Random(4)
+    hosts = [f"h{i}" for i in range(15)]
+    edges = {(a, b): rng.randrange(1, 5) for a in hosts for b in rng.sample(hosts, 3) if a != b and b != "h3"}
+    seeds = ["h0", "h7"]
+    links = spark.createDataFrame([("t", a, b, n) for (a, b), n in edges.items()], "kind string, src string, dst string, n long")
+    got = {r.host: r.score for r in linkrank.seen(links, spark.createDataFrame([("t", s) for s in seeds], "kind string, host string")).collect()}
+    score = {h: float(h in seeds) for h in hosts}
+    for _ in range(150):
+        mean = lambda h: sum(n * score[a] for (a, b), n in edges.items() if b == h) / (sum(n for (_, b), n in edges.items() if b == h) or 1)
+        score = {h: 1.0 if h in seeds else linkrank.DAMPING * mean(h) for h in hosts}
+    for h in hosts:
+        assert abs(got.get(h, 0.0) - score[h]) < 1e-5
+
+
 def test_spread_like_power_iteration(spark):
     rng = random.Random(1)
     hosts = [f"h{i}" for i in range(15)]
