@@ -10,6 +10,8 @@ functions are used.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +40,15 @@ ENCODINGS = (
     ("base64", r"^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])[A-Za-z0-9+/]+$", UPPER + LOWER + DIGITS + "+/"),
     ("url64", r"^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])[A-Za-z0-9_-]+$", UPPER + LOWER + DIGITS + "-_"),
 )
+# A run that fits no encoding is cut into pieces of these characters: at each kind of separator
+# alone and at all of them.
+PIECES = (
+    r"[A-Za-z0-9+/]{16,}",
+    r"[A-Za-z0-9_-]{16,}",
+    r"[A-Za-z0-9-]{16,}",
+    r"[A-Za-z0-9_]{16,}",
+    r"[A-Za-z0-9]{16,}",
+)
 # Rate of random tokens among those held to be not random.
 FALSE_DISCOVERIES = 0.01
 # Fewer bits than this are too short to be told from chance.
@@ -110,6 +121,45 @@ def upper_tail(z: Column) -> Column:
     return 1.0 / (1.0 + F.exp(z * (1.5976 + 0.070566 * z * z)))
 
 
+def fits_any(token: Column) -> Column:
+    return reduce(lambda a, b: a | b, [token.rlike(pattern) for _, pattern, _ in ENCODINGS])
+
+
+def with_pieces(able: DataFrame) -> DataFrame:
+    """``able(k1, k2, start, end, token)`` with ``run``, the start of the run: runs that fit an
+    encoding as they are, others by their pieces. Pieces that fit none themselves are tested
+    with ``-`` and ``_`` left out; their spans hold the separators."""
+    able = able.withColumn("run", F.col("start"))
+    fits = fits_any(F.col("token"))
+    has_digit = lambda t: t.rlike("[0-9]")
+    pieces = F.flatten(F.array(*[located(F.col("token"), p, "random", has_digit) for p in PIECES]))
+    pieces = able.where(~fits).select("k1", "k2", "run", F.explode(F.array_distinct(pieces)).alias("s"))
+    token = F.col("s.token")
+    pieces = pieces.select(
+        "k1",
+        "k2",
+        (F.col("run") + F.col("s.start")).alias("start"),
+        (F.col("run") + F.col("s.end")).alias("end"),
+        F.when(fits_any(token), token).otherwise(F.regexp_replace(token, "[_-]", "")).alias("token"),
+        "run",
+    )
+    return able.where(fits).unionByName(pieces)
+
+
+def merged(spans: Column) -> Column:
+    """Spans (start, end) of one run, those that overlap as one."""
+    empty = F.array().cast("array<struct<start:long,end:long>>")
+
+    def add(acc: Column, span: Column) -> Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        both = F.struct(last["start"].alias("start"), F.greatest(last["end"], span["end"]).alias("end"))
+        rest = F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
+        touches = (F.size(acc) > 0) & (span["start"] < last["end"])
+        return F.when(touches, F.concat(rest, F.array(both))).otherwise(F.concat(acc, F.array(span)))
+
+    return F.aggregate(F.array_sort(spans), empty, add)
+
+
 def battery(tokens: DataFrame) -> DataFrame:
     """Adds ``encoding``, ``bits`` and the combined ``p`` to ``tokens(token)``; tokens that fit
     no encoding are left out."""
@@ -249,11 +299,13 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     rows = written(rows.withColumn("base", F.transform("base", lambda s: s.dropFields("token"))), "base")
     able = rows.where(F.size("able") > 0).select("k1", "k2", F.explode("able").alias("s"))
     able = written(able.select("k1", "k2", "s.start", "s.end", "s.token").distinct(), "able")
+    able = written(with_pieces(able), "pieces")
     secret = random_tokens(able.select("token"))
-    found = able.join(secret, "token").groupBy("k1", "k2")
-    found = found.agg(
-        F.collect_list(F.struct("start", F.lit("random").alias("kind"), "end")).alias("more")
-    )
+    found = able.join(secret, "token").groupBy("k1", "k2", "run")
+    found = found.agg(merged(F.collect_list(F.struct("start", "end"))).alias("own"))
+    kind = lambda s: F.struct(s["start"].alias("start"), F.lit("random").alias("kind"), s["end"].alias("end"))
+    found = found.groupBy("k1", "k2").agg(F.flatten(F.collect_list("own")).alias("more"))
+    found = found.withColumn("more", F.transform("more", kind))
     found = written(found, "found")
     joined = rows.select("doc_id", "k1", "k2", "base").join(found, ["k1", "k2"], "left")
     every = F.when(F.col("more").isNull(), F.col("base")).otherwise(F.concat("base", "more"))

@@ -195,6 +195,33 @@ def test_secrets(spark):
     assert secrets.find_secrets(docs.where("false")).count() == 0
 
 
+def test_secrets_between_separators(spark):
+    rng = random.Random(8)
+    lower, upper = string.ascii_lowercase + string.digits, string.ascii_uppercase + string.digits
+    draw = lambda letters, n: "".join(rng.choices(letters, k=n))
+    groups = lambda letters, sizes: "-".join(draw(letters, n) for n in sizes)
+    makers = [
+        (lambda: "key_", lambda: draw(lower, 24)),
+        (lambda: "", lambda: groups("0123456789abcdef", (8, 4, 4, 4, 12))),
+        (lambda: "", lambda: groups(upper, (5, 5, 5, 5, 5))),
+        (lambda: "example/r/reset-pw/", lambda: draw(string.ascii_letters + string.digits, 24)),
+        (lambda: "users/of-2/", lambda: groups("0123456789abcdef", (8, 4, 4, 4, 12))),
+    ]
+    made = [(head(), own()) for head, own in makers for _ in range(12)]
+    plain = ["internationalization-of-the-configuration-2"]
+    docs = docs_of(spark, [(i, f"é {a}{b} x", "en", "s") for i, (a, b) in enumerate(made)] + [(900 + i, t, "en", "s") for i, t in enumerate(plain)])
+    got = by_id(secrets.find_secrets(docs), "base", "spans")
+    for k in range(len(makers)):
+        hits = 0
+        for i in range(12 * k, 12 * k + 12):
+            spans = sorted((s.start, s.end) for s in got[i][1])
+            assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
+            at = 2 + len(made[i][0])
+            hits += any(s <= at and e >= at + len(made[i][1]) for s, e in spans)
+        assert hits >= 9, k
+    assert all(got[900 + i][1] == [] for i in range(len(plain)))
+
+
 def test_battery_keeps_random_tokens_and_drops_words(spark):
     rng = random.Random(2)
     letters = string.ascii_letters + string.digits
