@@ -17,6 +17,8 @@ from ledgerwatch.llm.linespread import remove_shared_lines
 from ledgerwatch.llm.linkrank import Rule, judge_pages
 from ledgerwatch.llm.minhash import near_duplicates
 from ledgerwatch.llm.mixing import mix_sources
+from ledgerwatch.llm.orchard import centroid_digest, cluster
+from ledgerwatch.llm.runs import find_runs
 from ledgerwatch.llm.secrets import find_secrets
 from ledgerwatch.llm.tokenstore import token_store
 
@@ -123,6 +125,105 @@ def op10_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tiled_texts(docs: DataFrame) -> DataFrame:
+    """Documents, one in ten of them made periodic from some word on: with h the crc32 of the
+    id and g = h / 10, if 10 divides h, word i >= a = g % n becomes word a + (i - a) % p with
+    p = 1 + floor((n - a) / (3 + g % 8))."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    split = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    words = F.when(h % 10 == 0, split)
+    docs = docs.withColumn("__words", words).withColumn("__n", F.size("__words"))
+    docs = docs.withColumn("__g", F.expr("crc32(cast(doc_id AS string)) div 10"))
+    docs = docs.withColumn("__a", F.expr("CASE WHEN __n > 0 THEN cast(__g % __n AS int) END"))
+    docs = docs.withColumn("__p", F.expr("cast(1 + (__n - __a) div (3 + __g % 8) AS int)"))
+    tiled = F.expr(
+        "array_join(transform(__words, (w, i) -> "
+        "if(i >= __a, __words[__a + (i - __a) % __p], w)), ' ')"
+    )
+    text = F.when(F.col("__n") > 0, tiled).otherwise(F.col("text"))
+    return docs.select("doc_id", text.alias("text"))
+
+
+def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_runs(tiled_texts(table(spark, sf_dir, "documents")))
+    # The run of greatest length / period, compared as fractions.
+    best = F.expr(
+        "get(array_sort(runs, (a, b) -> CASE "
+        "WHEN a.length * b.period > b.length * a.period THEN -1 "
+        "WHEN a.length * b.period < b.length * a.period THEN 1 "
+        "WHEN a.start <> b.start THEN if(a.start < b.start, -1, 1) "
+        "WHEN a.period <> b.period THEN if(a.period < b.period, -1, 1) ELSE 0 END), 0)"
+    )
+    lines = F.transform(
+        "runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    )
+    found = found.withColumn("best", best)
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[F.col("best")[c].alias(c) for c in ("start", "length", "period")],
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        hex_sha256(F.array_join(lines, "")).alias("runs_sha256"),
+        hex_sha256(F.col("kept_text")).alias("collapsed_sha256"),
+    )
+
+
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = cluster(table(spark, sf_dir, "embeddings"), 8, 10, 64, 3)
+    return found.select(
+        "vec_id",
+        "cluster",
+        "distance",
+        "cluster_inertia",
+        "inertia",
+        centroid_digest().alias("centroid_sha256"),
+    )
+
+
+def clusters_sql(k: int = 8, rounds: int = 10) -> str:
+    """Rounds of exact whole-number clustering, written out one after another."""
+    assigned = """
+        a{0} AS MATERIALIZED (
+            SELECT r, arg_min(num, (d, num)) AS num, min(d) AS d FROM (
+                SELECT v.r, c.num, sum((v.x - c.x) * (v.x - c.x)) AS d
+                FROM v JOIN c{0} c USING (i) GROUP BY v.r, c.num) GROUP BY r)"""
+    moved = """
+        c{1} AS MATERIALIZED (
+            SELECT c.num, c.i, CASE WHEN m.n IS NULL THEN c.x
+                   ELSE (m.s - ((m.s % m.n) + m.n) % m.n) // m.n END AS x
+            FROM c{0} c LEFT JOIN (
+                SELECT a.num, v.i, sum(v.x) AS s, count(*) AS n
+                FROM v JOIN a{0} a USING (r) GROUP BY a.num, v.i) m USING (num, i))"""
+    steps = [
+        f"""WITH k AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, embedding::DOUBLE[] AS e
+            FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding,
+                lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+        v AS MATERIALIZED (
+            SELECT r, i, CAST(floor(1024 * e[i]) AS HUGEINT) AS x
+            FROM (SELECT r, e, unnest(range(1, 65)) AS i FROM k)),
+        c0 AS MATERIALIZED (
+            SELECT num, i, x FROM v JOIN (
+                SELECT r, row_number() OVER (ORDER BY sha256('3:' || vec_id), e) - 1 AS num
+                FROM k WHERE vec_id IS NOT NULL
+                ORDER BY num LIMIT {k}) USING (r))"""
+    ]
+    for j in range(rounds):
+        steps += [assigned.format(j), moved.format(j, j + 1)]
+    steps.append(assigned.format(rounds))
+    steps.append(
+        f"""
+        digest AS (
+            SELECT num, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS h
+            FROM c{rounds} GROUP BY num)
+        SELECT vec_id, CAST(num AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance,
+               CAST(sum(d) OVER (PARTITION BY num) AS BIGINT) AS cluster_inertia,
+               CAST(sum(d) OVER () AS BIGINT) AS inertia, h AS centroid_sha256
+        FROM a{rounds} JOIN k USING (r) JOIN digest USING (num)"""
+    )
+    return ",".join(steps[:-1]) + "," + steps[-1]
+
+
 QUERIES: dict[str, QueryFn] = {
     "op1_language_id": op1_language_id,
     "op2_token_store": op2_token_store,
@@ -134,6 +235,8 @@ QUERIES: dict[str, QueryFn] = {
     "op8_mix": op8_mix,
     "op9_personal_data": op9_personal_data,
     "op10_line_spread": op10_line_spread,
+    "op11_word_runs": op11_word_runs,
+    "op13_clusters": op13_clusters,
 }
 
 SQL: dict[str, str] = {
@@ -215,4 +318,5 @@ SQL: dict[str, str] = {
         SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_removed AS BIGINT) AS n_removed,
                CAST(length(kept) AS BIGINT) AS kept_chars, sha256(kept) AS kept_sha256
         FROM k""",
+    "op13_clusters": clusters_sql(),
 }
