@@ -37,7 +37,7 @@ LINK = (85, 100)
 BLOCK = 512
 
 
-def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(texts: pa.Array, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of every text, sorted, one after the other, and their counts.
 
     With fewer words than a shingle the whole sequence is one; without words the set is empty.
@@ -47,7 +47,7 @@ def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     words = words_of(batch, SPACED)
     hashes = word_hashes(data, words)
     n = words.last - words.first
-    count = np.where(n == 0, 0, np.maximum(n - SHINGLE + 1, 1))
+    count = np.where(n == 0, 0, np.maximum(n - width + 1, 1))
     owner = np.repeat(np.arange(len(n)), count)
     total = int(count.sum())
     if not total:
@@ -56,7 +56,7 @@ def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     at = begin + np.arange(total)
     stop = words.last[owner]
     value = np.zeros(total, np.uint64)
-    for j in range(SHINGLE):
+    for j in range(width):
         here = at + j
         word = np.where(here < stop, hashes[np.minimum(here, len(hashes) - 1)], U64(j + 1))
         value = (value ^ word) * U64(0x9E6C63D0676A9A99) + U64(0x4F1BBCDC + j)

@@ -20,6 +20,7 @@ from ledgerwatch.llm.mixing import mix_sources
 from ledgerwatch.llm.orchard import centroid_digest, cluster
 from ledgerwatch.llm.runs import find_runs
 from ledgerwatch.llm.secrets import find_secrets
+from ledgerwatch.llm.setjoin import jaccard_groups
 from ledgerwatch.llm.tokenstore import token_store
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -168,6 +169,10 @@ def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups(table(spark, sf_dir, "documents"))
+
+
 def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = cluster(table(spark, sf_dir, "embeddings"), 8, 10, 64, 3)
     return found.select(
@@ -236,6 +241,7 @@ QUERIES: dict[str, QueryFn] = {
     "op9_personal_data": op9_personal_data,
     "op10_line_spread": op10_line_spread,
     "op11_word_runs": op11_word_runs,
+    "op12_jaccard_join": op12_jaccard_join,
     "op13_clusters": op13_clusters,
 }
 
