@@ -195,23 +195,17 @@ def balance_rules(
 
 
 def risk_level(score: Column, bands: tuple[tuple[int, str], ...]) -> Column:
-    chain = None
-    for highest, level in bands[:-1]:
-        test = score <= F.lit(highest)
-        chain = (
-            F.when(test, F.lit(level)) if chain is None else chain.when(test, level)
-        )
-    return chain.otherwise(F.lit(bands[-1][1]))
+    """Level of the first band that reaches up to the score, looked up by how many do not."""
+    below = [(score > F.lit(highest)).cast("int") for highest, _ in bands[:-1]]
+    levels = F.array(*[F.lit(level) for _, level in bands])
+    return F.get(levels, reduce(lambda a, b: a + b, below, F.lit(0)))
 
 
 def decision(level: Column, decisions: tuple[tuple[str, str], ...]) -> Column:
-    chain = None
-    for name, value in decisions:
-        test = level == F.lit(name)
-        chain = (
-            F.when(test, F.lit(value)) if chain is None else chain.when(test, value)
-        )
-    return chain
+    known = F.array(*[F.lit(name) for name, _ in decisions])
+    # Position 0, of an unknown level, has no decision.
+    values = F.array(F.lit(None).cast("string"), *[F.lit(value) for _, value in decisions])
+    return F.get(values, F.array_position(known, level).cast("int"))
 
 
 def score_events(
@@ -226,7 +220,12 @@ def score_events(
 
     ``stateful=False`` means there is no window state at all: the stateful rules are skipped
     for every row and the rows are marked degraded. A ``degraded`` column says so per row.
-    The whole operator is two projections inside one code-generated stage.
+
+    The predicates are evaluated once per row, into one number with a bit for each rule. The
+    number passes through a one-element explode: filters on what is derived from it stop
+    there, while filters on the input go on to the scan. Without that stop the planner would
+    write the predicates, and whatever made their inputs, out again for every mention of a
+    level or score in a filter. Everything after it reads bits, in one projection.
     """
     rule_set = rule_set or baseline_rules()
     rules = rule_set.active(stateful)
@@ -240,45 +239,47 @@ def score_events(
             F.lit(False) if degraded is None else F.coalesce(degraded, F.lit(False))
         )
 
-    flags = {}
-    for rule in rules:
+    bits = F.lit(0).cast("long")
+    for place, rule in enumerate(rules):
         hit = rule.matched()
-        flags[f"__hit_{rule.code}"] = hit & ~is_degraded if rule.stateful else hit
-    flagged = df.select("*", *[c.alias(n) for n, c in flags.items()]).withColumn(
-        "degraded", is_degraded
+        hit = hit & ~is_degraded if rule.stateful else hit
+        bits = bits + F.when(hit, F.lit(1 << place)).otherwise(F.lit(0)).cast("long")
+    inputs = [c for c in df.columns if c != "degraded"]
+    marked = df.select(*inputs, is_degraded.alias("degraded"), bits.alias("__bits"))
+    marked = marked.select(
+        *inputs, "degraded", F.explode_outer(F.array("__bits")).alias("__hits")
     )
 
-    hits = [(F.col(f"__hit_{r.code}"), r) for r in rules]
+    hits = [
+        (F.col("__hits").bitwiseAND(F.lit(1 << place)) != 0, rule)
+        for place, rule in enumerate(rules)
+    ]
     total = reduce(
         lambda a, b: a + b,
         [F.when(hit, F.lit(r.score)).otherwise(F.lit(0)) for hit, r in hits],
         F.lit(0),
     )
+    score = F.least(F.lit(rule_set.max_score), total)
+    level = risk_level(score, rule_set.bands)
     codes = joined(",", [(hit, r.code) for hit, r in hits])
     reasons = joined("; ", [(hit, r.reason) for hit, r in hits])
-    scored = flagged.select(
-        *[c for c in flagged.columns if not c.startswith("__hit_")],
-        F.least(F.lit(rule_set.max_score), total).alias("risk_score"),
-        codes.alias("__codes"),
-        F.concat(
-            F.when(reasons == "", F.lit(NO_MATCH)).otherwise(reasons),
-            F.when(
-                F.col("degraded"), F.lit(f"; Redis degraded mode: {degraded_reason}")
-            ).otherwise(F.lit("")),
-        ).alias("reason"),
-    )
-    level = risk_level(F.col("risk_score"), rule_set.bands)
     none = F.array().cast("array<string>")
-    return scored.select(
-        *[c for c in scored.columns if c not in ("__codes", "reason", "degraded")],
+    return marked.select(
+        *inputs,
+        score.alias("risk_score"),
         level.alias("risk_level"),
         decision(level, rule_set.decisions).alias("decision"),
-        list_text(F.col("__codes")).alias("matched_rules"),
+        list_text(codes).alias("matched_rules"),
         F.when(F.col("degraded"), F.array(*[F.lit(c) for c in skipped]).cast("array<string>"))
         .otherwise(none)
         .alias("skipped_rules"),
         "degraded",
-        "reason",
+        F.concat(
+            F.when(F.col("__hits") == 0, F.lit(NO_MATCH)).otherwise(reasons),
+            F.when(
+                F.col("degraded"), F.lit(f"; Redis degraded mode: {degraded_reason}")
+            ).otherwise(F.lit("")),
+        ).alias("reason"),
         F.lit(rule_set.version).alias("rule_version"),
     )
 

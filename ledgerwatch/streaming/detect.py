@@ -15,7 +15,7 @@ from ledgerwatch.operators.rules import RuleSet, baseline_rules, score_events
 from ledgerwatch.operators.sampling import limit_rows
 from ledgerwatch.schemas import FRAUD_RESULT, PROCESSING_LOG, SOURCE_POSITION, WINDOW_SUM
 from ledgerwatch.session import keyed_state_settings, ship_package
-from ledgerwatch.sources.idempotent import append_once, stored
+from ledgerwatch.sources.idempotent import append_once, in_partitions, stored
 from ledgerwatch.streaming.arrival_state import StateConfig, arrival_window_stream
 
 RULE_STAGE = "RULE_ENGINE_ERROR"
@@ -94,22 +94,34 @@ def processing_logs(
     ).select(*PROCESSING_LOG.fieldNames())
 
 
-def _already_scored(batch: DataFrame, results: DataFrame | None) -> DataFrame:
+def _already_scored(batch: DataFrame, sinks: Sinks) -> DataFrame:
     """Failed rows become duplicates where their event has a result: stored by an earlier
-    batch, or to be stored from an earlier row of this one. Other rows pass unchanged."""
+    batch, or to be stored from an earlier row of this one. Other rows pass unchanged.
+
+    A batch without failed rows, as most are, is handed back after one look. Of the stored
+    results only the failed rows' dates are read; a failed row without event time has no
+    date, and only then all dates are.
+    """
     failed = batch.filter(F.col("error_type").isNotNull())
+    if failed.isEmpty():
+        return batch
     position = F.struct("partition_no", "offset_no")
     scored = batch.filter(F.col("error_type").isNull() & ~F.col("duplicate"))
     scored = scored.groupBy("event_id").agg(F.min(position).alias("__scored_at"))
+    results = stored(batch.sparkSession, sinks.results, "event_id string, event_date date")
+    columns = batch.columns
+    dated = failed.withColumn("event_date", F.to_date("event_time"))
     failed = failed.join(scored, "event_id", "left")
     before = F.coalesce(F.col("__scored_at") < position, F.lit(False))
     if results is not None:
-        wanted = failed.select("event_id").distinct()
+        if dated.filter("event_date IS NULL").isEmpty():
+            results = in_partitions(results, dated, ["event_date"])
+        wanted = dated.select("event_id").distinct()
         old = results.select("event_id").join(wanted, "event_id", "left_semi").distinct()
         old = old.withColumn("__stored", F.lit(True))
         failed = failed.join(old, "event_id", "left")
         before = before | F.col("__stored").isNotNull()
-    failed = failed.withColumn("duplicate", before).select(*batch.columns)
+    failed = failed.withColumn("duplicate", before).select(*columns)
     return batch.filter(F.col("error_type").isNull()).unionByName(failed)
 
 
@@ -132,9 +144,9 @@ def store_batch(
     block = F.floor(F.col("offset_no") / OFFSET_BLOCK)
     if "error_type" not in batch.columns:
         batch = _with_faults(batch)
-    batch = _already_scored(batch, stored(batch.sparkSession, sinks.results, "event_id string"))
-    batch = batch.persist()
+    given = batch.persist()
     try:
+        batch = _already_scored(given, sinks)
         logs = processing_logs(batch, group, final_status, now).withColumn("offset_block", block)
         append_once(logs, sinks.logs, position, position, ["offset_block"])
         fresh = batch.filter(~F.col("duplicate"))
@@ -155,7 +167,7 @@ def store_batch(
         )
         append_once(results, sinks.results, ["event_id"], position[1:], ["event_date"])
     finally:
-        batch.unpersist()
+        given.unpersist()
 
 
 def _with_faults(events: DataFrame) -> DataFrame:

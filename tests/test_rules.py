@@ -144,3 +144,28 @@ def test_scoring_stays_in_generated_code(spark):
     df = spark.createDataFrame([], SCHEMA)
     plan = score_events(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan.replace("PythonRDD", "") and "BatchEval" not in plan
+
+
+def test_filters_on_results_do_not_copy_the_scoring(spark):
+    """The planner may copy lookups in the bits, but neither predicates nor their inputs."""
+    from checks.tables import prepared
+    from ledgerwatch.operators.quality import check_rule_version
+    from ledgerwatch.plans.simulation import score_prepared
+
+    scored = score_prepared(prepared(spark, "/root/testdata/sf0.001").events)
+
+    def plan_size(df):
+        return len(df._jdf.queryExecution().optimizedPlan().toString())
+
+    whole = plan_size(scored)
+    level = F.col("riskLevel")
+    kept = scored.filter(level.isin("LOW", "HIGH") & (F.col("riskScore") > 10))
+    assert plan_size(kept) < whole + 5_000
+    rewritten = scored.withColumn(
+        "ruleVersion", F.when(level == "LOW", "").when(level == "HIGH", "old").otherwise("new")
+    )
+    again = rewritten.withColumn("ruleVersion", F.when(level != "MEDIUM", F.col("ruleVersion")))
+    assert plan_size(check_rule_version(again)) < whole + 10_000
+    inputs = scored.filter(F.col("eventId") > "paysim-000000100")
+    plan = inputs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("000000100")
