@@ -22,10 +22,11 @@ from ledgerwatch.llm.textbatch import LOWER, batch_of, byte_class
 # Hashed n-gram features: bins for each of the orders 1 to 3.
 BINS = 4096
 ORDERS = (1, 2, 3)
-# Training rows per language, at most, and bytes read of each at most (a documented bound: only
-# what is fitted is bounded; prediction reads whole texts). The rows are those of least hash.
+# Training rows per language, at most (a documented bound: only the number of rows the
+# classifiers are fitted on; their texts are read whole). The rows are those of least hash.
 TRAIN_ROWS = 400
-TRAIN_BYTES = 20_000
+# Any two codewords differ in so many bits at least: one wrong bit is corrected, two are seen.
+DISTANCE = 4
 EPOCHS = 60
 HASH_PARTS = 1 << 14
 UNDECIDED = "und"
@@ -83,15 +84,42 @@ _ASCII = byte_class(spans=((65, 90), (97, 122)))
 
 
 def codewords(n: int) -> np.ndarray:
-    """A +1/-1 codeword per language: rows of a Hadamard matrix without its constant column,
-    so that any two differ in half of their bits. One language has the word of one bit."""
-    size = 2
-    while size < max(n, 4):
+    """A +1/-1 codeword per language, any two at DISTANCE or more.
+
+    Up to five languages have a bit for every way to split them in two. More have rows of a
+    Hadamard matrix without its constant column, half of which differ; the rows are chosen so
+    that its columns are different splits, too. Two or three languages have too few splits,
+    so these are repeated; ``feature_folds`` keeps the repetitions independent.
+    """
+    if n == 1:
+        return np.ones((1, 1))
+    if n <= 5:
+        splits = [[1 if k == 0 or bits >> (k - 1) & 1 == 0 else -1 for k in range(n)] for bits in range(1, 2 ** (n - 1))]
+        codes = np.array(splits, np.float64).T
+        return np.tile(codes, repetitions(n))
+    size = 16
+    while size < n:
         size *= 2
     matrix = np.array([[1]])
     while len(matrix) < size:
         matrix = np.block([[matrix, matrix], [matrix, -matrix]])
-    return matrix[:n, 1:].astype(np.float64)
+    # Row 0 and the rows of powers of two tell all columns apart.
+    first = [0, *[1 << k for k in range(size.bit_length() - 1)]]
+    rows = [*first, *[r for r in range(size) if r not in first]][:n]
+    return matrix[rows, 1:].astype(np.float64)
+
+
+def repetitions(n: int) -> int:
+    """How often each split occurs: all splits of n languages are at distance 2^(n-2)."""
+    return -(-DISTANCE // 2 ** (n - 2)) if 2 <= n <= 5 else 1
+
+
+def feature_folds(n: int, bits: int) -> np.ndarray:
+    """Features x bits: which features a bit's classifier may use. Repetitions of a split have
+    features of their own, so that they do not err together."""
+    times = repetitions(n)
+    fold = np.arange(len(ORDERS) * BINS) % times
+    return (fold[:, None] == (np.arange(bits) // (bits // times))[None, :]).astype(np.float64)
 
 
 @dataclass(frozen=True)
@@ -103,13 +131,15 @@ class Model:
     trust: np.ndarray  # weight of each bit in decoding
 
 
-def fit(rows: list[tuple[str, bytes]]) -> Model | None:
-    """Logistic regressions, one per bit, by full-batch gradient steps on the bounded sample."""
+def fit(rows: list[tuple[str, np.ndarray]]) -> Model | None:
+    """Logistic regressions, one per bit, by full-batch gradient steps on the bounded sample
+    of (language, features)."""
     languages = tuple(sorted({lang for lang, _ in rows}))
     if not languages:
         return None
     codes = codewords(len(languages))
-    x = np.array([features(np.frombuffer(text, np.uint8)) for _, text in rows], np.float32)
+    folds = feature_folds(len(languages), codes.shape[1])
+    x = np.array([own for _, own in rows], np.float32)
     label = np.array([languages.index(lang) for lang, _ in rows])
     y = codes[label]
     # Every language weighs the same, however many rows it has.
@@ -120,7 +150,7 @@ def fit(rows: list[tuple[str, bytes]]) -> Model | None:
     for _ in range(EPOCHS):
         margin = x @ weights.astype(np.float32) + bias
         slope = -y / (1.0 + np.exp(y * margin)) * share[:, None]
-        speed = 0.9 * speed - 20.0 * (slope.astype(np.float32).T @ x).T - 2e-4 * weights
+        speed = 0.9 * speed - 20.0 * (slope.astype(np.float32).T @ x).T * folds - 2e-4 * weights
         weights += speed
         bias -= 2.0 * slope.sum(axis=0)
     margin = x @ weights + bias
@@ -169,9 +199,23 @@ def _predictor(model: Model | None):
     return predict
 
 
-def training_rows(labelled: DataFrame) -> list[tuple[str, bytes]]:
-    """The bounded sample of ``labelled(doc_id, text, lang)``: for each language the rows of
-    least hash of their id. The number of languages is that of the labels in use."""
+def _sparse_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch_of(batch.column("text"))
+        places, values = [], []
+        for begin, end in zip(texts.start, texts.end, strict=True):
+            own = features(texts.data[begin:end])
+            at = np.flatnonzero(own)
+            places.append(at.astype("<u2").tobytes())
+            values.append(own[at].astype("<f4").tobytes())
+        columns = [batch.column("lang"), batch.column("doc_id"), pa.array(places), pa.array(values)]
+        yield pa.RecordBatch.from_arrays(columns, ["lang", "doc_id", "places", "values"])
+
+
+def training_rows(labelled: DataFrame) -> list[tuple[str, np.ndarray]]:
+    """(language, features) of the bounded sample of ``labelled(doc_id, text, lang)``: for each
+    language the rows of least hash of their id. The number of languages is that of the labels
+    in use. Whole texts become features where they lie; a row's features have a fixed size."""
     rows = labelled.where("lang is not null and text is not null and doc_id is not null")
     # Ranked without the texts, and only where the rank can be low: hashes are cut into parts,
     # and sums over the counts of parts tell up to which part a language's rows are needed.
@@ -188,9 +232,16 @@ def training_rows(labelled: DataFrame) -> list[tuple[str, bytes]]:
     keys = keys.withColumn("place", F.row_number().over(order)).where(f"place <= {TRAIN_ROWS}")
     keys = keys.select("lang", "doc_id")
     rows = rows.join(keys, ["lang", "doc_id"]).groupBy("lang", "doc_id")
-    rows = rows.agg(F.min(F.encode(F.substring("text", 1, TRAIN_BYTES), "utf-8")).alias("text"))
-    rows = rows.orderBy("lang", F.xxhash64("doc_id"), "doc_id").select("lang", "text")
-    return [(r.lang, bytes(r.text)) for r in rows.toLocalIterator()]
+    rows = rows.agg(F.min("text").alias("text")).mapInArrow(
+        _sparse_features, "lang string, doc_id long, places binary, values binary"
+    )
+    rows = rows.orderBy("lang", F.xxhash64("doc_id"), "doc_id")
+    found = []
+    for r in rows.toLocalIterator():
+        own = np.zeros(len(ORDERS) * BINS, np.float32)
+        own[np.frombuffer(r["places"], "<u2")] = np.frombuffer(r["values"], "<f4")
+        found.append((r["lang"], own))
+    return found
 
 
 def identify_languages(docs: DataFrame, labelled: DataFrame, ambiguous_gap: float = 0.2) -> DataFrame:

@@ -1,9 +1,10 @@
 """URL verdicts by rules and by trust and distrust that spread over links between hosts.
 
-Trust spreads from trusted hosts along links; distrust spreads from blocked hosts against them,
-for a host that links to bad ones is suspect. ``spread`` is the PageRank that deals a host's
-score out over its links. Verdicts compare what each host sees itself (``seen``), which does not
-thin out with the number of seeds or of other hosts round one. Only DataFrame functions are used.
+Trust is personalised PageRank from trusted hosts along links; distrust is that from blocked
+hosts against them, for a host that links to bad ones is suspect. PageRank thins out with the
+number of hosts round a seed, so each is held against the ordinary PageRank on the same graph:
+a host's trust or distrust is the share of all score it receives that came from seeds. Only
+DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -17,12 +18,12 @@ from ledgerwatch.llm.common import ready, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DAMPING = 0.85
-STEPS = 40
-CLOSE = 1e-6
+# Steps end when what a host receives grows by no more than this part of itself, for any host.
+CLOSE = 1e-3
 # A host is a seed if rules block (or allow) more than half of its pages.
 SEED_SHARE = 0.5
-# A host is blocked if its distrust exceeds so many times its trust.
-RATIO = 1.0
+# A host is blocked if its distrust is at least this and exceeds its trust.
+LEAST_DISTRUST = 0.25
 
 
 @dataclass(frozen=True)
@@ -81,96 +82,76 @@ def host_links(pages: DataFrame) -> DataFrame:
 
 
 def spread(links: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(kind, host, score) by personalised PageRank for every kind of ``seeds(kind, host)``
-    over ``links(kind, src, dst, n)``. What hosts without links hold returns to the seeds.
-
-    Each step is one join and one sum, written to the shared folder; the driver sees the mass
-    that returns, and the total change, per kind.
+    """(kind, host, received) by personalised PageRank for every kind of ``seeds(kind, host)``
+    over ``links(kind, src, dst, n)``: a host has 1 if it is a seed, plus what it receives,
+    DAMPING of what other hosts deal out over their links. Scores are not scaled to a sum, so
+    those of a larger seed set are at least as large everywhere; what reaches hosts without
+    links ends there.
+
+    Each step adds what walks one link longer bring: one join and one sum, written to the
+    shared folder. Only the largest growth comes to the driver. The growth falls by DAMPING a
+    step at least, so the steps end.
     """
     out = links.groupBy("kind", "src").agg(F.sum("n").alias("all"))
-    flow = written(
-        links.join(out, ["kind", "src"]).select(
-            "kind", "src", "dst", (F.col("n") / F.col("all")).alias("share")
-        ),
-        "flow",
-    )
-    count = seeds.groupBy("kind").agg(F.count("*").alias("k"))
-    start = written(
-        seeds.join(count, "kind").select("kind", "host", (1.0 / F.col("k")).alias("seed")), "seeds"
-    )
-    scores = start.select("kind", "host", F.col("seed").alias("score"))
-    for _ in range(STEPS):
-        moved = (
-            scores.withColumnRenamed("host", "src")
-            .join(flow, ["kind", "src"])
-            .groupBy("kind", F.col("dst").alias("host"))
-            .agg(F.sum(F.col("score") * F.col("share")).alias("came"))
-        )
-        moved = written(moved, "moved")
-        came = {r.kind: r.s for r in moved.groupBy("kind").agg(F.sum("came").alias("s")).collect()}
-        back = F.lit(1.0)
-        for kind, total in came.items():  # the two kinds
-            back = F.when(F.col("kind") == kind, 1.0 - DAMPING * total).otherwise(back)
-        after = (
-            start.join(moved, ["kind", "host"], "full")
-            .join(scores, ["kind", "host"], "full")
-            .select(
-                "kind",
-                "host",
-                (
-                    back * F.coalesce("seed", F.lit(0.0))
-                    + DAMPING * F.coalesce("came", F.lit(0.0))
-                ).alias("score"),
-                F.coalesce("score", F.lit(0.0)).alias("was"),
-            )
-        )
-        after = written(after, "scores")
-        change = after.agg(F.sum(F.abs(F.col("score") - F.col("was")))).first()[0] or 0.0
-        scores = after.drop("was")
-        if change < CLOSE:
-            break
-    return scores
-
-
-def seen(links: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(kind, host, score) for every kind of ``seeds(kind, host)``: seeds have 1, and a host has
-    DAMPING times the mean score of those it gets score from over ``links(kind, src, dst, n)``.
-
-    It is the PageRank of the seeds in a walk from the host itself, over that of a seed in a
-    walk from itself: how surely, at DAMPING a link, the walk meets a seed. So it depends only
-    on where the host's own walk leads. Each step lowers what is missing by DAMPING at least;
-    steps end when no score changes by CLOSE.
-    """
-    into = links.groupBy("kind", "dst").agg(F.sum("n").alias("all"))
-    flow = links.join(into, ["kind", "dst"]).select(
+    flow = links.join(out, ["kind", "src"]).select(
         "kind", "src", F.col("dst").alias("host"), (DAMPING * F.col("n") / F.col("all")).alias("share")
     )
-    flow = written(flow.join(seeds, ["kind", "host"], "left_anti"), "flow")
-    start = written(seeds.select("kind", "host", F.lit(1.0).alias("score")), "seeds")
-    scores = start
+    flow = written(flow, "flow")
+    one, none = F.lit(1.0), F.lit(0.0)
+    scores = seeds.distinct().withColumns({"received": none, "new": one})
+    scores = written(scores, "seeds")
     while True:
         came = (
-            scores.withColumnRenamed("host", "src")
+            scores.where("new > 0")
+            .select("kind", F.col("host").alias("src"), "new")
             .join(flow, ["kind", "src"])
             .groupBy("kind", "host")
-            .agg(F.sum(F.col("score") * F.col("share")).alias("score"))
+            .agg(F.sum(F.col("new") * F.col("share")).alias("came"))
         )
-        was = scores.withColumnRenamed("score", "was")
-        after = start.unionByName(came).join(was, ["kind", "host"], "left")
-        after = written(after, "scores")
-        change = after.agg(F.max(F.col("score") - F.coalesce("was", F.lit(0.0)))).first()[0] or 0.0
-        scores = after.drop("was")
-        if change < CLOSE:
-            return scores
+        new, before = F.coalesce("came", none), F.coalesce("received", none)
+        after = scores.drop("new").join(came, ["kind", "host"], "full").select(
+            "kind", "host", (before + new).alias("received"), new.alias("new")
+        )
+        scores = written(after, "scores")
+        growth = scores.where("new > 0").agg(F.max(F.col("new") / F.col("received"))).first()[0]
+        if (growth or 0.0) <= CLOSE:
+            return scores.drop("new")
+
+
+def relative(links: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(kind, host, share) for every host that score from seeds of a kind reaches: the part
+    of all score the host receives that is theirs, 1 for the seeds themselves.
+
+    Links into seeds are left out of both
+    walks: what is known needs no evidence, and a blocked host cannot hide behind the links
+    it sets itself.
+    """
+    onto = seeds.select("kind", F.col("host").alias("dst"))
+    links = written(links.join(onto, ["kind", "dst"], "left_anti"), "open_links")
+    ends = links.select("kind", F.col("src").alias("host")).union(links.select("kind", "dst"))
+    every = ends.union(seeds).select(F.concat("kind", F.lit(" all")).alias("kind"), "host")
+    both = links.union(links.withColumn("kind", F.concat("kind", F.lit(" all"))))
+    scores = spread(both, seeds.union(every))
+    ordinary = scores.where(F.col("kind").endswith(" all")).select(
+        F.regexp_replace("kind", " all$", "").alias("kind"),
+        "host",
+        F.col("received").alias("all"),
+    )
+    own = scores.where(~F.col("kind").endswith(" all")).join(ordinary, ["kind", "host"])
+    known = seeds.distinct().withColumn("seed", F.lit(True))
+    share = F.when(F.col("seed"), F.lit(1.0)).otherwise(F.col("received") / F.col("all"))
+    return own.join(known, ["kind", "host"], "left").select(
+        "kind", "host", F.least(share, F.lit(1.0)).alias("share")
+    )
 
 
 def judge_pages(pages: DataFrame, rules: list[Rule]) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) for every row of
     ``pages(page_id, url, html)``.
 
-    The rule's verdict holds where one fits; else the host is blocked if its distrust exceeds
-    its trust, both as ``seen`` by itself. A page without host, or of a host that neither has
-    reached, is allowed. Null urls and urls
+    The rule's verdict holds where one fits; else the host is blocked if its distrust is
+    LEAST_DISTRUST or more and exceeds its trust, both as shares of the score it receives
+    (``relative``). A page without host, or of a host that neither has reached, is allowed. Null urls and urls
     without ``://`` have no host and no path. Null and empty html has no links. Repeated rows
     are judged alike; further columns are ignored. An empty table gives an empty result.
     """
@@ -196,17 +177,17 @@ def judge_pages(pages: DataFrame, rules: list[Rule]) -> DataFrame:
     seeds = seeds.union(
         known.where(F.col("blocked") > SEED_SHARE * F.col("n")).select(F.lit("distrust"), "host")
     )
-    scores = seen(both, seeds)
+    scores = relative(both, written(seeds, "seeds"))
     hosts = scores.groupBy("host").agg(
-        F.coalesce(F.sum(F.when(F.col("kind") == "trust", F.col("score"))), F.lit(0.0)).alias(
+        F.coalesce(F.sum(F.when(F.col("kind") == "trust", F.col("share"))), F.lit(0.0)).alias(
             "trust"
         ),
-        F.coalesce(F.sum(F.when(F.col("kind") == "distrust", F.col("score"))), F.lit(0.0)).alias(
+        F.coalesce(F.sum(F.when(F.col("kind") == "distrust", F.col("share"))), F.lit(0.0)).alias(
             "distrust"
         ),
     )
     judged = ruled.select("page_id", "host", "path", "found").join(hosts, "host", "left")
-    bad = F.col("distrust") > RATIO * F.col("trust")
+    bad = (F.col("distrust") >= LEAST_DISTRUST) & (F.col("distrust") > F.col("trust"))
     spread_verdict = F.when(F.coalesce(bad, F.lit(False)), "block").otherwise("allow")
     return judged.select(
         "page_id",

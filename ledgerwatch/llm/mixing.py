@@ -18,8 +18,9 @@ from ledgerwatch.llm.common import ready, written
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2.0
-STEPS = 60
 CLOSE = 1e-12
+# Steps without a smaller gap after which targets are held to contradict each other.
+PATIENCE = 30
 # Parts of a source that are taken whole or not at all; only the part where the target lies
 # is decided row by row.
 PARTS = 1 << 16
@@ -91,14 +92,17 @@ def balance(cells: DataFrame, constraints: list[str]) -> DataFrame:
 
     Newton steps on the convex dual, one constraint column after the other (their blocks of
     the Hessian are diagonal). Each step is one aggregation over the cells; what the driver
-    sees is the largest relative gap. Values without words, or with target 0, have rate 0.
+    sees is the largest relative gap. Steps go on until it is closed; if it stops getting
+    smaller, no rates meet all targets, and that is an error. Values without words, or with
+    target 0, have rate 0.
     """
     rate = F.lit(1.0)
     for name in constraints:
         cells = cells.withColumn(f"dual_{name}", F.lit(0.0))
         rate = rate * F.exp(F.col(f"dual_{name}"))
     cells = written(cells, "duals")
-    for _ in range(STEPS):
+    least, since = None, 0
+    while True:
         gaps = []
         for name in constraints:
             same = Window.partitionBy(name)
@@ -119,6 +123,10 @@ def balance(cells: DataFrame, constraints: list[str]) -> DataFrame:
         cells = cells.drop(*gaps)
         if worst is None or worst <= CLOSE:
             break
+        since = 0 if least is None or worst < least else since + 1
+        least = worst if least is None else min(least, worst)
+        if since > PATIENCE:
+            raise ValueError(f"no rates meet the targets: {least:.3g} of one is left over")
     blocked = reduce(lambda a, b: a | b, [F.col(f"target_{c}") <= 0 for c in constraints])
     cells = cells.withColumn("rate", F.when(blocked, 0.0).otherwise(rate))
     return cells.drop(*[f"dual_{c}" for c in constraints])
@@ -131,6 +139,8 @@ def round_to_copies(rows: DataFrame) -> DataFrame:
 
     ``draw`` is a hexadecimal digest. Its first four digits cut a source into parts, and sums
     over parts tell the one in which the fraction is reached; only its rows are ordered.
+    ``chunk`` cuts up rows that are equal in everything: they are first counted by chunk, the
+    counts are ordered, and single rows are only numbered inside their chunk.
     """
     rows = rows.withColumn("part", F.conv(F.substring("draw", 1, 4), 16, 10).cast("int"))
     fraction = F.col("rate") - F.floor("rate")
@@ -151,10 +161,19 @@ def round_to_copies(rows: DataFrame) -> DataFrame:
         F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")),
     ).drop("s", "p")
     cut = (F.col("before") < F.col("need")) & (F.col("need") < F.col("before") + F.col("own"))
-    order = Window.partitionBy("source", "part").orderBy("draw", "doc_id", "size", "tie")
-    before = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    decided = marked.where(cut).withColumn("at", F.col("before") + F.coalesce(before, F.lit(0)))
-    decided = decided.withColumn("more", F.col("at") + F.col("size") / 2 <= F.col("need")).drop("at")
+    decided = marked.where(cut)
+    alike = ["draw", "doc_id", "size", "tie", "chunk"]
+    groups = decided.groupBy("source", "part", *alike).agg(F.count("*").alias("rows"))
+    order = Window.partitionBy("source", "part").orderBy(*alike)
+    earlier = F.sum(F.col("size") * F.col("rows")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    groups = groups.withColumn("earlier", F.coalesce(earlier, F.lit(0))).drop("rows")
+    keys = ["source", "part", *alike]
+    same = [F.col(c).eqNullSafe(F.col(f"g_{c}")) for c in keys]
+    groups = groups.select(*[F.col(c).alias(f"g_{c}") for c in keys], "earlier")
+    decided = decided.join(groups, reduce(lambda a, b: a & b, same)).drop(*[f"g_{c}" for c in keys])
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("draw")) - 1
+    at = F.col("before") + F.col("earlier") + nth * F.col("size")
+    decided = decided.withColumn("more", at + F.col("size") / 2 <= F.col("need")).drop("earlier")
     whole = marked.where(~cut).withColumn("more", F.col("before") + F.col("own") <= F.col("need"))
     copies = F.floor("rate") + F.when(F.col("more") & (fraction > 0), 1).otherwise(0)
     return whole.unionByName(decided).withColumn("copies", copies.cast("long"))
@@ -175,6 +194,7 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: fl
         F.col("source").cast("string"),
         word_count().alias("size"),
         F.xxhash64("text").alias("tie"),
+        F.spark_partition_id().alias("chunk"),
     )
     # Sizes are counted once: the texts are not read again.
     rows = written(rows, "sizes")
@@ -191,8 +211,8 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: fl
         .alias("rate"),
     )
     rows = rows.join(cells, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    rows = rows.withColumn("draw", F.md5(F.col("doc_id").cast("string").cast("binary")))
-    rows = rows.withColumn("draw", F.coalesce("draw", F.md5(F.lit("").cast("binary"))))
+    name = F.concat_ws(":", F.col("doc_id").cast("string"), F.col("tie").cast("string"))
+    rows = rows.withColumn("draw", F.md5(name.cast("binary")))
     copied = round_to_copies(rows)
     return copied.select(
         "doc_id",

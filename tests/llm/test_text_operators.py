@@ -5,6 +5,7 @@ import re
 import string
 import zlib
 
+import numpy as np
 import pytest
 
 from ledgerwatch.llm import crf, decontam, langid, linespread, secrets
@@ -75,13 +76,69 @@ def test_language_without_labels_or_rows(spark, languages):
     assert langid.drop_unidentified(languages, languages).count() == 244
 
 
-def test_codewords_are_far_apart():
-    for n in (1, 2, 3, 4, 9):
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 6, 8, 9, 16, 20])
+def test_codewords_are_far_apart(n):
+    codes = langid.codewords(n)
+    bits = codes.shape[1]
+    folds = langid.feature_folds(n, bits)
+    assert len({tuple(c) for c in codes}) == n
+    assert all((codes[a] != codes[b]).sum() >= 4 for a in range(n) for b in range(a))
+    # No two classifiers do the same work: another split, or other features.
+    work = {(tuple(codes[:, k] * codes[0, k]), tuple(folds[:8, k])) for k in range(bits)}
+    assert len(work) == bits
+    if n > 1:
+        assert all(len(set(codes[:, k])) == 2 for k in range(bits))
+
+
+@pytest.mark.parametrize("n", [2, 3, 4, 5, 8, 12])
+def test_one_wrong_bit_is_corrected_and_two_are_flagged(n):
+    codes = langid.codewords(n)
+    bits = codes.shape[1]
+    names = tuple(f"l{i:02}" for i in range(n))
+    model = langid.Model(names, codes, np.zeros((1, bits)), np.zeros(bits), np.full(bits, 1 / bits))
+    for i in range(n):
+        for k in range(bits):
+            margins = 3.0 * codes[i].copy()
+            margins[k] *= -1
+            (best,), _, (gap,) = langid.decode(model, margins[None])
+            assert best == i and gap > 0.2
+        nearest = min((j for j in range(n) if j != i), key=lambda j: (codes[i] != codes[j]).sum())
+        apart = np.flatnonzero(codes[i] != codes[nearest])
+        if len(apart) == 4:
+            margins = 3.0 * codes[i].copy()
+            margins[apart[:2]] *= -1
+            _, _, (gap,) = langid.decode(model, margins[None])
+            assert gap < 0.2
+
+
+def test_decode_like_a_plain_search():
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 4, 7):
         codes = langid.codewords(n)
-        assert len({tuple(c) for c in codes}) == n
-        for a in range(n):
-            for b in range(a):
-                assert (codes[a] != codes[b]).sum() >= 2
+        trust = rng.random(codes.shape[1]) + 0.1
+        model = langid.Model(tuple(map(str, range(n))), codes, None, None, trust / trust.sum())
+        margins = rng.normal(size=(50, codes.shape[1])) * 2
+        margins[0] = 0  # every codeword is equally near: the first language
+        best, score, gap = langid.decode(model, margins)
+        for row, b, s, g in zip(margins, best, score, gap, strict=True):
+            loss = [
+                sum(t * len(row) * np.log1p(np.exp(-m * c)) for t, m, c in zip(model.trust, row, code, strict=True))
+                for code in codes
+            ]
+            odds = sorted((np.exp(min(loss) - x) for x in loss), reverse=True)
+            assert b == loss.index(min(loss)) or np.isclose(loss[b], min(loss))
+            assert np.isclose(s, odds[0] / sum(odds))
+            assert np.isclose(g, (odds[0] - (odds[1] if n > 1 else 0)) / sum(odds))
+        assert best[0] == 0
+
+
+def test_whole_sample_texts_are_fitted(spark):
+    """What tells two languages apart stands at the end of long texts."""
+    same = "zz qq " * 5_000
+    rows = [(i, same + (" alba bera" if i % 2 else " dorf wurst") * 4_000, "ab"[i % 2], "s") for i in range(24)]
+    docs = docs_of(spark, rows)
+    found = langid.identify_languages(docs, docs).collect()
+    assert all(r.lang_pred == "ab"[r.doc_id % 2] for r in found)
 
 
 def brute_contamination(text, items):
