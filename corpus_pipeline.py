@@ -23,19 +23,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one of least doc_id. Of rows that
-    repeat an id the least by their other columns stays; rows without id stay."""
-    ready(spark)
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id")
-    rest = [c for c in docs.columns if c != "doc_id"]
-    named = (
-        docs.where("doc_id is not null")
-        .join(kept.distinct(), "doc_id", "left_semi")
-        .groupBy("doc_id")
-        .agg(F.min(F.struct(*rest)).alias("row"))
-        .select("doc_id", "row.*")
-    )
-    return named.select(docs.columns).union(docs.where("doc_id is null"))
+    """One document of each group of near duplicates stays: the one of least doc_id, rows
+    without id last. Every row is a document of its own, so rows that share an id but not
+    their texts are told apart, and rows without id are compared like others."""
+    spark = ready(spark)
+    row = F.monotonically_increasing_id()
+    numbered = written(docs.withColumn("__row", row), "numbered")
+    found = near_duplicates(numbered.select(F.col("__row").alias("doc_id"), "text"))
+    found = found.select(F.col("doc_id").alias("__row"), "component_id")
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "__row")
+    kept = numbered.select("__row", "doc_id").join(found, "__row").groupBy("component_id")
+    kept = kept.agg(F.min(first).alias("first")).select(F.col("first.__row").alias("__row"))
+    return numbered.join(kept, "__row", "left_semi").select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
