@@ -22,6 +22,7 @@ from ledgerwatch.session import ensure_checkpoint_dir
 from ledgerwatch.sources.files import number_rows
 from ledgerwatch.sources.idempotent import append_once as append_to
 from ledgerwatch.sources.idempotent import new_rows, repeated_rows
+from ledgerwatch.sources.shared import SharedTable
 from ledgerwatch.streaming.detect import Sinks, detect_payloads, detect_stream, route_failures
 
 FLAGSHIP_COLUMNS = (
@@ -705,3 +706,29 @@ def append_once_sink(spark, sf_dir):
     for _ in range(2):
         append_to(rows, target, ["event_id"], ["partition_no", "offset_no"], ["day"])
     return spark.read.parquet(target).select("event_id", "offset_no", F.col("day").cast("string"))
+
+
+@check(
+    "append_shared",
+    ("deliveries",),
+    """SELECT event_id, CAST(event_time AS DATE)::VARCHAR AS day,
+         coalesce(min(offset_no) FILTER (offset_no >= 10000000000 OR n % 3 = 0), min(offset_no))
+           AS offset_no
+       FROM deliveries GROUP BY event_id, 2""",
+)
+def append_shared(spark, sf_dir):
+    """Two writers of one table, each looking before the other has committed: one has the late
+    copies and a third of the originals, the other all originals. Then everything again."""
+    rows = tables.deliveries(spark, sf_dir).withColumn("day", F.to_date("event_time"))
+    late = (F.col("offset_no") >= 10_000_000_000) | (F.col("n") % 3 == 0)
+    first, second = rows.where(late), rows.where(F.col("offset_no") < 10_000_000_000)
+    names = ["event_id", "partition_no", "offset_no", "day"]
+    target = f"{ensure_checkpoint_dir(spark)}/append_shared-{uuid.uuid4().hex}"
+    schema = rows.select(names).schema
+    one, two = (SharedTable(spark, target, schema, ["event_id"], "day") for _ in range(2))
+    order = ["partition_no", "offset_no"]
+    ahead, behind = one.prepare(first.select(names), order), two.prepare(second.select(names), order)
+    one.commit(ahead)
+    two.commit(behind)
+    one.append(rows.select(names), order)
+    return one.rows().select("event_id", "offset_no", F.col("day").cast("string"))

@@ -131,10 +131,15 @@ def _save_mode(force: bool) -> str:
     return "overwrite" if force else "errorifexists"
 
 
+def file_system(spark: SparkSession, path: str):
+    """The store that holds a path, and what makes its path objects."""
+    of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return of(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), of
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
-    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    return hadoop_path.getFileSystem(conf).exists(hadoop_path)
+    store, of = file_system(spark, path)
+    return store.exists(of(path))
 
 
 def write_paysim_outputs(prepared: Prepared, folder: str, force: bool = False) -> OutputPaths:

@@ -10,9 +10,6 @@ from ledgerwatch.operators.windows import first_wins
 from ledgerwatch.sources.files import path_exists
 
 
-MOST_PARTITIONS = 400
-
-
 def stored(
     spark: SparkSession, target: str, schema: StructType | str
 ) -> DataFrame | None:
@@ -44,13 +41,10 @@ def repeated_rows(batch: DataFrame, target: DataFrame, keys: list[str]) -> DataF
 
 
 def in_partitions(target: DataFrame, batch: DataFrame, columns: list[str]) -> DataFrame:
-    """The part of the target that lies in the partitions the batch falls into. The values are
-    read from the batch; a batch that spans more than ``MOST_PARTITIONS`` reads the whole."""
+    """The part of the target that lies in the partitions the batch falls into. Their values
+    are read from the batch: one for each partition that the batch itself would write to."""
     for name in columns:
-        rows = batch.select(name).distinct().limit(MOST_PARTITIONS + 1).collect()
-        if len(rows) > MOST_PARTITIONS:
-            continue
-        values = [r[0] for r in rows]
+        values = [r[0] for r in batch.select(name).distinct().collect()]
         test = F.col(name).isin([v for v in values if v is not None])
         target = target.where(test | F.col(name).isNull() if None in values else test)
     return target
@@ -64,7 +58,7 @@ def append_once(
     partition_by: list[str] | None = None,
 ) -> None:
     """Append the new rows to a parquet target. Running the same batch again appends nothing.
-    One writer per target.
+    One writer per target; ``SharedTable`` takes several.
 
     ``partition_by`` names columns that a key determines (a date, a block of offsets): a
     repeated row lies in the same partition, so only the batch's partitions of the target are

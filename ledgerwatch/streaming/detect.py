@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from ledgerwatch.operators.deadletter import to_dead_letters, to_envelopes
 from ledgerwatch.operators.intake import columns_to_wire, parse_guard
@@ -16,6 +17,7 @@ from ledgerwatch.operators.sampling import limit_rows
 from ledgerwatch.schemas import FRAUD_RESULT, PROCESSING_LOG, SOURCE_POSITION, WINDOW_SUM
 from ledgerwatch.session import keyed_state_settings, ship_package
 from ledgerwatch.sources.idempotent import append_once, in_partitions, stored
+from ledgerwatch.sources.shared import SharedTable
 from ledgerwatch.streaming.arrival_state import StateConfig, arrival_window_stream
 
 RULE_STAGE = "RULE_ENGINE_ERROR"
@@ -32,16 +34,20 @@ class Sinks:
 
     Results are partitioned by event date, the others by blocks of offsets, so that a
     micro-batch reads only the partitions its own rows fall into. An event id belongs to one
-    event time: a redelivery under another date would be another event."""
+    event time: a redelivery under another date would be another event.
+
+    ``shared`` makes the sinks tables that several streams may write to (``SharedTable``);
+    each still needs a checkpoint of its own."""
 
     logs: str
     results: str
     dead_letters: str
     checkpoint: str
     envelopes: str | None = None
+    shared: bool = False
 
     @classmethod
-    def under(cls, folder: str) -> Sinks:
+    def under(cls, folder: str, shared: bool = False) -> Sinks:
         base = folder.rstrip("/")
         return cls(
             f"{base}/logs",
@@ -49,8 +55,25 @@ class Sinks:
             f"{base}/dead_letters",
             f"{base}/checkpoint",
             f"{base}/envelopes",
+            shared,
         )
 
+    def stored_results(self, spark: SparkSession) -> DataFrame | None:
+        """(event_id, event_date) of all stored results, or None before the first."""
+        keys = "event_id string, event_date date"
+        if self.shared:
+            return SharedTable(spark, self.results, StructType.fromDDL(keys), ["event_id"], "event_date").rows()
+        return stored(spark, self.results, keys)
+
+    def append(
+        self, rows: DataFrame, target: str, keys: list[str], order: list[str], partition: str
+    ) -> None:
+        if self.shared:
+            table = SharedTable(rows.sparkSession, target, rows.schema, keys, partition)
+            table.append(rows, order)
+        else:
+            append_once(rows, target, keys, order, [partition])
+
 
 def rule_failure() -> Column:
     """Rows no rule can be evaluated on."""
@@ -108,7 +131,7 @@ def _already_scored(batch: DataFrame, sinks: Sinks) -> DataFrame:
     position = F.struct("partition_no", "offset_no")
     scored = batch.filter(F.col("error_type").isNull() & ~F.col("duplicate"))
     scored = scored.groupBy("event_id").agg(F.min(position).alias("__scored_at"))
-    results = stored(batch.sparkSession, sinks.results, "event_id string, event_date date")
+    results = sinks.stored_results(batch.sparkSession)
     columns = batch.columns
     dated = failed.withColumn("event_date", F.to_date("event_time"))
     failed = failed.join(scored, "event_id", "left")
@@ -148,16 +171,16 @@ def store_batch(
     try:
         batch = _already_scored(given, sinks)
         logs = processing_logs(batch, group, final_status, now).withColumn("offset_block", block)
-        append_once(logs, sinks.logs, position, position, ["offset_block"])
+        sinks.append(logs, sinks.logs, position, position, "offset_block")
         fresh = batch.filter(~F.col("duplicate"))
         failed = fresh.filter(F.col("error_type").isNotNull())
         dead = to_dead_letters(failed, F.col("failure_stage"), now)
         keys = ["source_topic", "source_partition", "source_offset"]
         dead = dead.withColumn("offset_block", F.floor(F.col("source_offset") / OFFSET_BLOCK))
-        append_once(dead, sinks.dead_letters, keys, keys, ["offset_block"])
+        sinks.append(dead, sinks.dead_letters, keys, keys, "offset_block")
         if sinks.envelopes:
             sent = to_envelopes(dead, *keys, "offset_block")
-            append_once(sent, sinks.envelopes, keys, keys, ["offset_block"])
+            sinks.append(sent, sinks.envelopes, keys, keys, "offset_block")
         good = fresh.filter(F.col("error_type").isNull())
         scored = score_events(good, rule_set, stateful=stateful).withColumn(
             "detected_at", now
@@ -165,7 +188,7 @@ def store_batch(
         results = scored.select(
             *FRAUD_RESULT.fieldNames(), *position[1:], F.to_date("event_time").alias("event_date")
         )
-        append_once(results, sinks.results, ["event_id"], position[1:], ["event_date"])
+        sinks.append(results, sinks.results, ["event_id"], position[1:], "event_date")
     finally:
         given.unpersist()
 
