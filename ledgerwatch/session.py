@@ -64,17 +64,18 @@ def prepare_session(spark: SparkSession) -> SparkSession:
 
 
 @contextmanager
-def keyed_state_settings(spark: SparkSession) -> Iterator[None]:
+def keyed_state_settings(spark: SparkSession, event_time: bool = False) -> Iterator[None]:
     """Settings a query with keyed state must be started under (a query keeps the settings
     it was started with).
 
     Several state maps need the RocksDB store. State with a wall-clock life would also ask
     for empty micro-batches for ever, so that a run over the available data would not end;
-    entries past their life are dropped with the next data instead.
+    entries past their life are dropped with the next data instead. Event-time state has
+    no wall-clock life, and needs the empty micro-batch after the last data for its timers.
     """
     wanted = {
         "spark.sql.streaming.stateStore.providerClass": ROCKSDB_PROVIDER,
-        "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+        "spark.sql.streaming.noDataMicroBatches.enabled": str(event_time).lower(),
     }
     before = {key: spark.conf.get(key) for key in wanted}
     for key, value in wanted.items():

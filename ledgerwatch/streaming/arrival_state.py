@@ -9,7 +9,7 @@ from typing import Any
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -24,11 +24,12 @@ from ledgerwatch.schemas import AMOUNT
 for _module in (arrival, sys.modules[__name__]):
     cloudpickle.register_pickle_by_value(_module)
 
-_OUT = (
+OUT_SCHEMA = (
     "user_id string, event_id string, payload string, "
     "window_count long, window_sum decimal(38,12), duplicate boolean"
 )
-_TIME_FORMAT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+OUT_COLUMNS = [field.split()[0] for field in OUT_SCHEMA.split(", ")]
+PAYLOAD_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
 
 @dataclass(frozen=True)
@@ -94,7 +95,7 @@ class ArrivalWindowProcessor(StatefulProcessor):
             self.entries.updateValue((event_id,), (where[event_id], live[event_id]))
         for event_id in fresh:
             self.seen.updateValue((event_id,), (True,))
-        yield pd.DataFrame(out, columns=[field.split()[0] for field in _OUT.split(", ")])
+        yield pd.DataFrame(out, columns=OUT_COLUMNS)
 
     def close(self) -> None:
         pass
@@ -113,15 +114,33 @@ def arrival_window_stream(events: DataFrame, config: StateConfig | None = None)
         F.col("offset_no").cast("long").alias("offset_no"),
         epoch_ms(F.col("event_time")).alias("ms"),
         F.col("amount").cast(AMOUNT).alias("amount"),
-        F.to_json(F.struct(*events.columns), _TIME_FORMAT).alias("payload"),
+        F.to_json(F.struct(*events.columns), PAYLOAD_TIMES).alias("payload"),
     )
     answered = narrow.groupBy("user_id").transformWithStateInPandas(
         statefulProcessor=ArrivalWindowProcessor(config or StateConfig()),
-        outputStructType=_OUT,
+        outputStructType=OUT_SCHEMA,
         outputMode="Append",
         timeMode="ProcessingTime",
     )
-    row = F.from_json("payload", events.schema, _TIME_FORMAT)
+    row = F.from_json("payload", events.schema, PAYLOAD_TIMES)
     return answered.select(
         row.alias("__row"), "window_count", "window_sum", "duplicate"
     ).select("__row.*", "window_count", "window_sum", "duplicate")
+
+
+def stored_state(spark: SparkSession, checkpoint: str, name: str) -> DataFrame:
+    """What a stopped stream's state holds, as a table read from its checkpoint: user_id,
+    event_id, the value's fields, and ``expires_ms``, the wall-clock end of the entry's life
+    (absent from state that lives for good). ``name`` is ``entries`` or ``seen``. Entries past
+    their life are not there for the stream, whether or not they were swept already."""
+    state = (
+        spark.read.format("statestore")
+        .option("path", checkpoint)
+        .option("stateVarName", name)
+        .load()
+    )
+    value = "user_map_value.value" if "value" in state.schema["user_map_value"].dataType.names else "user_map_value"
+    columns = ["key.user_id", "user_map_key.event_id", f"{value}.*"]
+    if value != "user_map_value":
+        columns.append("user_map_value.ttlExpirationMs as expires_ms")
+    return state.selectExpr(*columns)

@@ -19,6 +19,7 @@ from ledgerwatch.session import keyed_state_settings, ship_package
 from ledgerwatch.sources.idempotent import append_once, in_partitions, stored
 from ledgerwatch.sources.shared import SharedTable
 from ledgerwatch.streaming.arrival_state import StateConfig, arrival_window_stream
+from ledgerwatch.streaming.event_time import event_time_window_stream
 
 RULE_STAGE = "RULE_ENGINE_ERROR"
 PARSE_STAGE = "PAYLOAD_ERROR"
@@ -208,6 +209,8 @@ def detect(
     stateful: bool = True,
     config: StateConfig | None = None,
     unreadable: DataFrame | None = None,
+    watermark: str | None = None,
+    late: str = "emit",
 ) -> DataFrame:
     """Events with window columns, the duplicate flag, and the fault columns.
 
@@ -215,9 +218,15 @@ def detect(
     pass beside the state: they are in no window and no id is remembered for them, so a
     repaired event that comes again is scored. Without state there is no window and no
     in-stream duplicate check; the idempotent sink still stores each event once.
+
+    Windows are in order of arrival. A ``watermark`` makes them event-time windows: an event
+    is answered when the watermark has passed it, and ``late`` ones are answered at once
+    (``emit``) or left out (``drop``).
     """
     good, failed = route_failures(events)
-    if stateful:
+    if stateful and watermark:
+        answered = event_time_window_stream(good, watermark, late, config)
+    elif stateful:
         answered = arrival_window_stream(good, config)
     else:
         answered = good.withColumns(_unanswered())
@@ -256,6 +265,8 @@ def detect_stream(
     final_status: bool = False,
     available_now: bool = False,
     unreadable: DataFrame | None = None,
+    watermark: str | None = None,
+    late: str = "emit",
 ) -> StreamingQuery:
     """Start detection on a stream of transaction rows with source positions.
 
@@ -264,7 +275,7 @@ def detect_stream(
     """
     rule_set = rule_set or baseline_rules()
     ship_package(events.sparkSession)
-    answered = detect(events, stateful, config, unreadable)
+    answered = detect(events, stateful, config, unreadable, watermark, late)
 
     def store(batch: DataFrame, _: int) -> None:
         store_batch(batch, sinks, rule_set, stateful, final_status=final_status)
@@ -276,7 +287,7 @@ def detect_stream(
     )
     if available_now:
         writer = writer.trigger(availableNow=True)
-    with keyed_state_settings(events.sparkSession):
+    with keyed_state_settings(events.sparkSession, event_time=watermark is not None):
         return writer.start()
 
 
