@@ -11,12 +11,13 @@ Rows of equal sets are one class. Classes smaller than a boundary are light, oth
   where these are large enough to be a heavy set's partner.
 * The boundary is where the rows given out on both sides are fewest, from the sizes' counts.
 
-Lists are scanned in two steps. First each set is compared with the one of its lists' smallest
+Lists are scanned in steps. First each set is compared with the one of its lists' smallest
 members that it meets most often; what these stars link is one group. Lists that still hold
-several groups are then compared in blocks, of neighbouring sizes only, in tasks of bounded
+several groups are then scanned in blocks, of neighbouring sizes only, in tasks of bounded
 size. Sizes, places in the lists, and counts of shingles per hash cell (their differences are
-at most the sets' difference) rule pairs out without losing a link; the rest is confirmed on
-full sets. A block gives back what joins groups, never its pairs.
+at most the sets' difference) rule pairs out without losing a link. What is left connects sets
+to clusters, whatever number of lists they meet in, and the full sets of each cluster are
+compared once, again in blocks. A block gives back what joins sets or groups, never its pairs.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ SHINGLE = 3
 # Linked if 10 * shared >= 9 * united.
 PART, WHOLE = 9, 10
 # Counters of the sketch that tells frequent shingles; a longer sketch changes no result.
-COUNTERS = 1 << 18
+COUNTERS = 1 << 22
 # Sizes a boundary is sought below: larger sets have too many subsets.
 MOST_LIGHT = 32
 # Hash cells in which a set's shingles are counted, one byte each.
@@ -95,20 +96,16 @@ def close_sizes(low, high):
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (kind, key, count) of a task: counts of small sizes, of shingles in all, and of
-    shingles that several sets of a batch hold, in hashed counters."""
-    sketch, sizes, total = np.zeros(COUNTERS, np.int64), np.zeros(MOST_LIGHT, np.int64), 0
+    hashed counters that stand out: above what shingles that occur once would do to them."""
+    sketch, sizes, total = np.zeros(COUNTERS, np.int32), np.zeros(MOST_LIGHT, np.int64), 0
     for batch in batches:
         values, count = shingle_sets(batch.column("text"), SHINGLE)
         total += len(values)
         sizes += np.bincount(count[count < MOST_LIGHT], minlength=MOST_LIGHT)
-        values = np.sort(values)
-        own = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
-        times = np.diff(np.concatenate((own, [len(values)]))) if len(values) else own
-        if len(values):
-            often = times > 1
-            key = (values[own[often]] % U64(COUNTERS)).astype(np.int64)
-            np.add.at(sketch, key, times[often])
-    key = np.flatnonzero(sketch)
+        key, times = np.unique(values % U64(COUNTERS), return_counts=True)
+        sketch[key.astype(np.int64)] += times.astype(np.int32)
+    usual = total / COUNTERS
+    key = np.flatnonzero(sketch > max(4.0, usual + 6.0 * math.sqrt(usual)))
     kinds = np.concatenate((np.zeros(len(key)), np.ones(MOST_LIGHT), [2])).astype(np.int32)
     keys = np.concatenate((key, np.arange(MOST_LIGHT), [0]))
     counts = np.concatenate((sketch[key], sizes, [total]))
@@ -117,20 +114,17 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def survey(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """(level of each counter, boundary). Levels are powers of two above twice the mean count:
-    what is not frequent has level 0. At most COUNTERS + MOST_LIGHT + 1 rows are collected."""
+    """(level of each counter, boundary). A counter's level is the number of bits of its
+    count, 0 where no task saw it stand out. At most COUNTERS + MOST_LIGHT + 1 rows are
+    collected, as columns."""
     rows = docs.select("text").mapInArrow(_survey, "kind int, key long, count long")
     rows = rows.groupBy("kind", "key").agg(F.sum("count").alias("count")).toArrow()
     kind, key, count = (rows.column(c).to_numpy() for c in ("kind", "key", "count"))
-    sketch = np.zeros(COUNTERS, np.int64)
-    sketch[key[kind == 0]] = count[kind == 0]
     level = np.zeros(COUNTERS, np.uint8)
-    scaled = sketch // max(1, 2 * int(sketch.sum()) // COUNTERS)
-    while scaled.any():
-        level += scaled > 0
-        scaled >>= 1
+    often = count[kind == 0]
+    level[key[kind == 0]] = 1 + np.log2(np.maximum(often, 1)).astype(np.uint8)
     total = int(count[kind == 2].sum())
-    repeats = int(sketch.sum()) / total if total else 0.0
+    repeats = int(often.sum()) / total if total else 0.0
     sizes = dict(zip(key[kind == 1].tolist(), count[kind == 1].tolist(), strict=True))
     return level, boundary(sizes, repeats)
 
@@ -266,16 +260,36 @@ def _possible_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def list_members(classes: DataFrame, heavy: int) -> DataFrame:
-    """(list, node, n, place, center) of all lists with a heavy member and another one."""
+    """(list, node, n, place, center) of all lists with a heavy member and another one, less
+    members that no size and place in the list can link.
+
+    Most lists of unlike sets have two or three members; these fall if no two neighbours by
+    size are close enough, or, of two, if what follows in either is too short.
+    """
     able = classes.where(F.col("n") >= max(PART, -(-PART * heavy // WHOLE)))
     length = f"int(n - ({PART} * n + {WHOLE - 1}) div {WHOLE} + 1)"
     first = F.slice("tokens", 1, F.expr(length))
     rows = able.select("node", "n", F.posexplode(first).alias("place", "list"))
+    rest = F.col("n") - F.col("place")
     lists = rows.groupBy("list").agg(
-        F.min("node").alias("center"), F.count("*").alias("size"), F.max("n").alias("most")
+        F.min("node").alias("center"),
+        F.count("*").alias("size"),
+        F.min("n").alias("least"),
+        F.max("n").alias("most"),
+        F.sum("n").alias("sum"),
+        F.min(rest).alias("rest"),
     )
-    lists = lists.where((F.col("size") > 1) & (F.col("most") >= heavy)).select("list", "center")
-    return written(rows.join(lists, "list"), "lists")
+    middle = F.col("sum") - F.col("least") - F.col("most")
+    two = close_sizes(F.col("least"), F.col("most")) & (
+        (PART + WHOLE) * F.col("rest") >= PART * F.col("sum")
+    )
+    three = close_sizes(F.col("least"), middle) | close_sizes(middle, F.col("most"))
+    useful = F.when(F.col("size") == 2, two).when(F.col("size") == 3, three).otherwise(True)
+    lists = lists.where((F.col("size") > 1) & (F.col("most") >= heavy) & useful)
+    rows = rows.join(lists.select("list", "center", "least"), "list")
+    # What a member shares from here on must do for a partner of the list's smallest size.
+    rows = rows.where((PART + WHOLE) * rest >= PART * (F.col("n") + F.col("least")))
+    return written(rows.drop("least"), "lists")
 
 
 def star_links(docs: DataFrame, members: DataFrame, classes: DataFrame) -> DataFrame:
@@ -348,49 +362,63 @@ def _size_class() -> Column:
     return F.floor(F.ln("n") / (math.log(WHOLE / PART) * 1.0001)).cast("long")
 
 
-def cross_blocks(members: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of lists with several groups, dealt to parts (list, low, high) of bounded size.
+def in_blocks(members: DataFrame) -> DataFrame:
+    """Rows (list, node, n, label, ...) of lists with several labels, dealt to parts (list,
+    low, high) of bounded size.
 
     A list of at most BLOCK members is one part, side 2. Of a longer one, units are up to
     about BLOCK members of a size class, the largest group's members apart; a part is two
     units of equal or neighbouring classes (sides 0 and 1), or one unit with itself (side 2).
     Two units of the largest group make no part.
     """
-    rows = members.select("list", "node", "n", "place").join(labels, "node", "left")
-    rows = written(rows.withColumn("label", F.coalesce("label", "node")), "labelled")
-    counts = rows.groupBy("list", "label").agg(F.count("*").alias("k"))
+    own = members.columns
+    counts = members.groupBy("list", "label").agg(F.count("*").alias("k"))
     mixed = counts.groupBy("list").agg(
         F.count("*").alias("labels"),
         F.sum("k").alias("size"),
-        F.max_by("label", F.struct("k", "label")).alias("main"),
+        F.max_by("label", F.struct("k", "label")).alias("most"),
+    )
+    rows = members.join(mixed.where("labels > 1").drop("labels"), "list")
+    small = rows.where(F.col("size") <= BLOCK).select(
+        *own,
+        F.lit(-1).cast("long").alias("low"),
+        F.lit(-1).cast("long").alias("high"),
+        F.lit(2).alias("side"),
+    )
+    large = rows.where(F.col("size") > BLOCK).select(
+        *own, _size_class().alias("cls"), (F.col("label") == F.col("most")).alias("main")
     )
-    rows = rows.join(mixed.where("labels > 1").drop("labels"), "list")
-    small = rows.where(F.col("size") <= BLOCK)
-    small = small.select("*", *[F.lit(-1).cast("long").alias(c) for c in ("low", "high")], F.lit(2).alias("side"))
-    large = rows.where(F.col("size") > BLOCK).withColumn("cls", _size_class())
-    large = large.withColumn("main", F.col("label") == F.col("main"))
     units = large.groupBy("list", "cls", "main").agg(F.ceil(F.count("*") / BLOCK).alias("units"))
     draw = F.pmod(F.xxhash64("node", "list"), F.col("units"))
     dealt = large.join(units, ["list", "cls", "main"]).withColumn("unit", draw)
-    code = lambda c, m, u: (F.col(c) * 2 + F.col(m).cast("long")) * (1 << 40) + F.col(u)
-    partner = units.select("list", F.col("cls").alias("p_cls"), F.col("main").alias("p_main"), F.col("units").alias("p_units"))
     dealt = dealt.withColumn("p_cls", F.explode(F.array(*[F.col("cls") + d for d in (-1, 0, 1)])))
+    partner = units.select(
+        "list", F.col("cls").alias("p_cls"), F.col("main").alias("p_main"), F.col("units").alias("p_units")
+    )
     dealt = dealt.join(partner, ["list", "p_cls"]).where("not (main and p_main)")
-    dealt = dealt.withColumn("p_unit", F.explode(F.sequence(F.lit(0).cast("long"), F.col("p_units") - 1)))
-    own, other = code("cls", "main", "unit"), code("p_cls", "p_main", "p_unit")
+    every = F.sequence(F.lit(0).cast("long"), F.col("p_units") - 1)
+    dealt = dealt.withColumn("p_unit", F.explode(every))
+
+    def code(cls: str, main: str, unit: str) -> Column:
+        return (F.col(cls) * 2 + F.col(main).cast("long")) * (1 << 40) + F.col(unit)
+
+    mine, other = code("cls", "main", "unit"), code("p_cls", "p_main", "p_unit")
     dealt = dealt.select(
-        "list", "node", "n", "place", "label",
-        F.least(own, other).alias("low"),
-        F.greatest(own, other).alias("high"),
-        F.when(own == other, 2).when(own < other, 0).otherwise(1).alias("side"),
-    )
-    blocks = small.select(dealt.columns).union(dealt)
-    return written(blocks.join(classes.select("node", "cells"), "node"), "blocks")
+        *own,
+        F.least(mine, other).alias("low"),
+        F.greatest(mine, other).alias("high"),
+        F.when(mine == other, 2).when(mine < other, 0).otherwise(1).alias("side"),
+    )
+    return small.union(dealt)
 
 
 _PART = ["list", "low", "high"]
 
 
+def _by_part(rows: DataFrame) -> DataFrame:
+    return rows.repartition(*_PART).sortWithinPartitions(*_PART, "node", "side")
+
+
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Whole parts from batches sorted by them."""
     held: list[pa.RecordBatch] = []
@@ -437,53 +465,73 @@ def _candidates(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return i, j
 
 
-def _flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members that must be looked at with their full sets."""
+class Forest:
+    """Joins that connect, of all that are tried."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+        self.joins: list[tuple[int, int]] = []
+
+    def top(self, x: int) -> int:
+        up = self.up
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        a, b = self.top(x), self.top(y)
+        if a != b:
+            self.up[max(a, b)] = min(a, b)
+            self.joins.append((x, y))
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        if self.joins:
+            a, b = (pa.array(x, pa.int64()) for x in zip(*self.joins, strict=True))
+            yield pa.RecordBatch.from_arrays([a, b], ["a", "b"])
+
+
+def _connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets of a part connected by pairs that must be looked at with their full sets."""
     for rows in _parts(batches):
         i, j = _candidates(rows)
-        if len(i):
-            needed = np.unique(np.concatenate((i, j)))
-            yield from rows.select([*_PART, "node", "side"]).take(needed).to_batches()
+        node, forest = rows.column("node").to_numpy(), Forest()
+        for x, y in zip(node[i].tolist(), node[j].tolist(), strict=True):
+            forest.join(x, y)
+        yield from forest.batches()
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What joins groups, from full sets. Pairs of groups already joined are skipped."""
     for rows in _parts(batches):
         i, j = _candidates(rows)
-        label = rows.column("label").to_pylist()
+        label, forest = rows.column("label").to_pylist(), Forest()
         sets = [np.asarray(s.values) for s in rows.column("shingles")]
-        up: dict[int, int] = {}
-
-        def top(x: int, up: dict[int, int] = up) -> int:
-            while up.setdefault(x, x) != x:
-                up[x] = up[up[x]]
-                x = up[x]
-            return x
-
-        joined = []
         for x, y in zip(i.tolist(), j.tolist(), strict=True):
-            a, b = top(label[x]), top(label[y])
-            if a != b:
+            if forest.top(label[x]) != forest.top(label[y]):
                 shared = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
                 if similar(shared, len(sets[x]), len(sets[y])):
-                    up[max(a, b)] = min(a, b)
-                    joined.append((label[x], label[y]))
-        if joined:
-            a, b = zip(*joined, strict=True)
-            yield pa.RecordBatch.from_pydict({"a": pa.array(a), "b": pa.array(b)})
+                    forest.join(label[x], label[y])
+        yield from forest.batches()
 
 
-def cross_links(docs: DataFrame, blocks: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b): groups with a link between them, sought in the parts of mixed lists."""
-    flagged = _by_part(blocks).mapInArrow(_flag, "list long, low long, high long, node long, side int")
-    flagged = written(flagged, "flagged")
-    sets = full_sets(docs, flagged.select("node").distinct(), classes)
-    rows = blocks.join(flagged, [*_PART, "node", "side"], "left_semi").join(sets, "node")
-    return _by_part(rows).mapInArrow(_confirm, "a long, b long")
-
-
-def _by_part(rows: DataFrame) -> DataFrame:
-    return rows.repartition(*_PART).sortWithinPartitions(*_PART, "node", "side")
+def cross_links(
+    docs: DataFrame, members: DataFrame, classes: DataFrame, labels: DataFrame
+) -> DataFrame:
+    """(a, b): groups with a link between them, from lists that hold several groups."""
+    facts = classes.select("node", "n", "cells")
+    rows = members.select("list", "node", "n", "place").join(labels, "node", "left")
+    rows = rows.withColumn("label", F.coalesce("label", "node"))
+    blocks = in_blocks(written(rows, "labelled")).join(facts.drop("n"), "node")
+    near = components(_by_part(blocks).mapInArrow(_connect, "a long, b long"))
+    near = near.select(F.col("component").alias("list"), F.col("id").alias("node"))
+    rows = near.join(facts, "node").join(labels, "node", "left")
+    rows = rows.select(
+        "list", "node", "n", F.coalesce("label", "node").alias("label"), F.lit(0).alias("place")
+    )
+    rows = written(rows, "clusters")
+    sets = full_sets(docs, rows.select("node"), classes).join(facts.drop("n"), "node")
+    return _by_part(in_blocks(rows).join(sets, "node")).mapInArrow(_confirm, "a long, b long")
 
 
 def jaccard_groups(docs: DataFrame) -> DataFrame:
@@ -524,8 +572,7 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     labels = components(links).select(
         F.col("id").alias("node"), F.col("component").alias("label")
     )
-    blocks = cross_blocks(members, classes, labels)
-    joined = components(cross_links(docs, blocks, classes))
+    joined = components(cross_links(docs, members, classes, labels))
     tops = (
         classes.select("node", "rep")
         .join(labels, "node", "left")
