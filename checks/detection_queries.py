@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -23,7 +24,13 @@ from ledgerwatch.sources.files import number_rows
 from ledgerwatch.sources.idempotent import append_once as append_to
 from ledgerwatch.sources.idempotent import new_rows, repeated_rows
 from ledgerwatch.sources.shared import SharedTable
-from ledgerwatch.streaming.detect import Sinks, detect_payloads, detect_stream, route_failures
+from ledgerwatch.streaming.detect import (
+    Sinks,
+    detect_payloads,
+    detect_stream,
+    route_failures,
+    stored_counters,
+)
 
 FLAGSHIP_COLUMNS = (
     "event_id",
@@ -732,3 +739,43 @@ def append_shared(spark, sf_dir):
     two.commit(behind)
     one.append(rows.select(names), order)
     return one.rows().select("event_id", "offset_no", F.col("day").cast("string"))
+
+
+@check(
+    "stream_event_time",
+    ("streamed",),
+    """SELECT event_id, risk_score, matched_rules FROM streamed WHERE epoch_us(event_time) // 1000
+         < (SELECT max(epoch_us(event_time)) // 1000 - 600000 FROM streamed)""",
+)
+def stream_event_time(spark, sf_dir):
+    """The detection stream in event time: what the watermark has passed, as in a table."""
+    folder = f"{ensure_checkpoint_dir(spark)}/stream_event_time-{uuid.uuid4().hex}"
+    source = tables.read(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(source).parquet(f"{sf_dir}/events.parque[t]")
+    events = take_in(tables.tx_of(stream)).accepted
+    sinks = Sinks.under(folder)
+    detect_stream(events, sinks, available_now=True, watermark="10 minutes").awaitTermination()
+    return spark.read.parquet(sinks.results).select("event_id", "risk_score", "matched_rules")
+
+
+@check(
+    "stream_counters",
+    ("streamed",),
+    """SELECT metric, n FROM (
+         SELECT 'results' AS metric, count(*) AS n FROM streamed UNION ALL
+         SELECT 'high_risk', count(*) FILTER (risk_level = 'HIGH') FROM streamed UNION ALL
+         SELECT unnest(['degraded', 'dlq_published', 'skipped:RAPID_TRANSACTION_COUNT',
+                        'skipped:WINDOW_AMOUNT_SUM']), 0)""",
+)
+def stream_counters(spark, sf_dir):
+    """Counters of the detection stream, run a second time from a lost checkpoint: the repeated
+    micro-batch stores and counts nothing anew."""
+    folder = f"{ensure_checkpoint_dir(spark)}/stream_counters-{uuid.uuid4().hex}"
+    source = tables.read(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(source).parquet(f"{sf_dir}/events.parque[t]")
+    events = take_in(tables.tx_of(stream)).accepted
+    sinks = Sinks.under(folder)
+    for run in range(2):
+        own = replace(sinks, checkpoint=f"{sinks.checkpoint}-{run}")
+        detect_stream(events, own, available_now=True).awaitTermination()
+    return stored_counters(spark, sinks.counters)

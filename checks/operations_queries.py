@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks import tables
 from checks.registry import check
 from ledgerwatch.operators import deadletter, operations, results
+from ledgerwatch.session import ensure_checkpoint_dir
+from ledgerwatch.streaming.windows import held_alert_stream
 
 
 @check(
@@ -334,6 +338,40 @@ def firing_alerts(spark, sf_dir):
     )
 
 
+@check(
+    "held_alerts",
+    ("results",),
+    f"""SELECT a.* FROM ({_WINDOWS}) a WHERE EXISTS (SELECT 1 FROM ({_WINDOWS}) b
+          WHERE b.alert = a.alert AND b.window_end = a.window_end - 60000)""",
+)
+def held_alerts(spark, sf_dir):
+    return operations.held_alerts(tables.results(spark, sf_dir))
+
+
+@check(
+    "held_alerts_stream",
+    ("results",),
+    f"""SELECT a.* FROM ({_WINDOWS}) a WHERE EXISTS (SELECT 1 FROM ({_WINDOWS}) b
+          WHERE b.alert = a.alert AND b.window_end = a.window_end - 60000)
+        AND a.window_end <= (SELECT max(epoch_us(detected_at)) // 1000 - 600000 FROM results)""",
+)
+def held_alerts_stream(spark, sf_dir):
+    """The same from a stream of the results, each alert once, as far as the watermark has
+    come. The later half arrives after a restart."""
+    folder = f"{ensure_checkpoint_dir(spark)}/held_alerts-{uuid.uuid4().hex}"
+    rows = tables.results(spark, sf_dir).select("detected_at", "degraded", "skipped_rules")
+    middle = rows.agg(F.expr("percentile_approx(unix_millis(detected_at), 0.5)")).first()[0] or 0
+    later = F.unix_millis("detected_at") >= middle
+    for part in (rows.where(~later), rows.where(later)):
+        part.write.mode("append").parquet(f"{folder}/in")
+        source = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+        found = held_alert_stream(source, "10 minutes")
+        writer = found.writeStream.format("parquet").outputMode("append")
+        writer = writer.option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/c")
+        writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{folder}/out")
+
+
 @check(
     "per_minute_rates",
     ("receipts",),

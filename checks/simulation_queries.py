@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks import tables
@@ -22,6 +24,8 @@ from ledgerwatch.operators.results import (
 from ledgerwatch.operators.rules import balance_rules, score_events
 from ledgerwatch.operators.typemap import map_native_type
 from ledgerwatch.plans.simulation import prepare_and_evaluate
+from ledgerwatch.session import ensure_checkpoint_dir
+from ledgerwatch.streaming import replay as paced
 
 VERSIONS = ("threshold-v1", "threshold-strict-v1")
 OPTIONS = ev.EvaluationOptions(threshold_versions=VERSIONS, event_id_prefix=tables.PREFIX)
@@ -275,6 +279,22 @@ def replay_requests(spark, sf_dir):
     return replay.to_replay_request(checked.filter("replay_reason IS NULL"), tables.PREFIX)
 
 
+@check(
+    "replay_paced",
+    ("replay_checked",),
+    """SELECT 'rp-' || eventId AS eventId, batch FROM (
+         SELECT *, (row_number() OVER (ORDER BY row_number) - 1) // 5000 AS batch
+         FROM replay_checked) WHERE replay_reason IS NULL""",
+)
+def replay_paced(spark, sf_dir):
+    """The written requests of a paced replay, and the micro-batch that sent each."""
+    folder = f"{ensure_checkpoint_dir(spark)}/replay_paced-{uuid.uuid4().hex}"
+    staged = paced.stage_replay(tables.replay_input(spark, sf_dir), f"{folder}/staged", 5000)
+    sent = paced.replay_paced(spark, staged, f"{folder}/sent", f"{folder}/c", tables.PREFIX)
+    sent.awaitTermination()
+    return spark.read.schema("eventId string, batch long").json(f"{folder}/sent")
+
+
 @check(
     "replay_failures",
     ("replay_checked",),

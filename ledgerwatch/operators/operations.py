@@ -225,20 +225,24 @@ def dlq_backlog(dlq: DataFrame) -> DataFrame:
     return dlq.groupBy("status", "failure_stage").agg(F.count("*").alias("n"))
 
 
+def _alert_marks() -> Column:
+    """Names of the alerts a result counts for, once for each skipped rule."""
+    return F.concat(
+        F.when(F.col("degraded"), F.array(F.lit("FraudRedisDegradedIncreased"))).otherwise(
+            F.array().cast("array<string>")
+        ),
+        F.transform("skipped_rules", lambda _: F.lit("FraudRuleSkippedIncreased")),
+    )
+
+
 def alert_windows(
     results: DataFrame, length: str = "5 minutes", slide: str = "1 minute"
 ) -> DataFrame:
     """(alert, window_start, window_end, n): sliding windows in which degraded results, or
     skipped rules, increased. Works on a table and on a stream (give the stream a watermark
     on ``detected_at`` first)."""
-    marks = F.concat(
-        F.when(F.col("degraded"), F.array(F.lit("FraudRedisDegradedIncreased"))).otherwise(
-            F.array().cast("array<string>")
-        ),
-        F.transform("skipped_rules", lambda _: F.lit("FraudRuleSkippedIncreased")),
-    )
     return (
-        results.select("detected_at", F.explode(marks).alias("alert"))
+        results.select("detected_at", F.explode(_alert_marks()).alias("alert"))
         .groupBy(F.window("detected_at", length, slide).alias("w"), "alert")
         .agg(F.count("*").alias("n"))
         .select(
@@ -250,6 +254,35 @@ def alert_windows(
     )
 
 
+def held_alerts(
+    results: DataFrame, length_s: int = 300, slide_s: int = 60, hold_s: int = 60
+) -> DataFrame:
+    """What ``firing_alerts`` finds in ``alert_windows``, straight from the results, on a table
+    or a stream with a watermark.
+
+    A window longer by the hold covers both the alert's window and the one that ended a hold
+    before it, so one windowed count answers for both and a stream needs no second state: the
+    alert fires if either part holds a mark. The hold is a multiple of the slide.
+    """
+    if hold_s % slide_s:
+        raise ValueError("the hold must be a multiple of the slide")
+    both = F.window("detected_at", f"{length_s + hold_s} seconds", f"{slide_s} seconds")
+    marks = results.select("detected_at", F.explode(_alert_marks()).alias("alert"))
+    # Marks may lie in both parts; a window function gives every mark its windows.
+    own = marks.withColumn("w", both)
+    start = F.timestamp_micros(F.unix_micros("w.start") + F.lit(hold_s * 1_000_000))
+    held = F.timestamp_micros(F.unix_micros("w.end") - F.lit(hold_s * 1_000_000))
+    return (
+        own.groupBy("w", "alert")
+        .agg(
+            F.count(F.when(F.col("detected_at") >= start, 1)).alias("n"),
+            F.count(F.when(F.col("detected_at") < held, 1)).alias("earlier"),
+        )
+        .filter("n > 0 AND earlier > 0")
+        .select("alert", start.alias("window_start"), F.col("w.end").alias("window_end"), "n")
+    )
+
+
 def firing_alerts(windows: DataFrame, hold_ms: int = 60_000) -> DataFrame:
     """Alert windows whose condition already held ``hold_ms`` before: the window that ended
     then was active too. An equality on shifted end times, so a plain hash join."""

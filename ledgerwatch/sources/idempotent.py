@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -73,3 +73,43 @@ def append_once(
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(target)
+
+
+def append_counted(
+    batch: DataFrame,
+    target: str,
+    keys: list[str],
+    order: list[str],
+    counts: dict[str, Column],
+    partition_by: list[str] | None = None,
+) -> dict[str, int]:
+    """``append_once`` that also counts, on the way to the sink, the rows each condition of
+    ``counts`` holds for. Nothing is read a second time for it.
+
+    Counted are the rows of this batch that the target holds in the end: new ones, and, when
+    a batch is repeated, those it stored the first time (``order`` tells them from copies that
+    another batch stored). So a batch has the same counts however often it was cut short.
+    """
+    old = stored(batch.sparkSession, target, batch.schema)
+    if old is not None and partition_by:
+        old = in_partitions(old, batch, partition_by)
+    rows = first_wins(batch, keys, order).withColumn("__here", F.struct(*order))
+    if old is None:
+        rows = rows.withColumns({"__new": F.lit(True), "__own": F.lit(True)})
+    else:
+        wanted = batch.select(*keys).distinct()
+        held = old.select(*keys, F.struct(*order).alias("__held")).join(wanted, keys, "left_semi")
+        rows = rows.join(held, keys, "left").withColumns(
+            {
+                "__new": F.col("__held").isNull(),
+                "__own": F.coalesce(F.col("__held") == F.col("__here"), F.lit(True)),
+            }
+        )
+    observation = Observation()
+    tests = [F.count(F.when(F.col("__own") & c, 1)).alias(name) for name, c in counts.items()]
+    fresh = rows.observe(observation, *tests).filter("__new").select(*batch.columns)
+    writer = fresh.write.mode("append")
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.parquet(target)
+    return {name: int(n) for name, n in observation.get.items()}

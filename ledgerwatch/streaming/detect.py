@@ -16,7 +16,7 @@ from ledgerwatch.operators.rules import RuleSet, baseline_rules, score_events
 from ledgerwatch.operators.sampling import limit_rows
 from ledgerwatch.schemas import FRAUD_RESULT, PROCESSING_LOG, SOURCE_POSITION, WINDOW_SUM
 from ledgerwatch.session import keyed_state_settings, ship_package
-from ledgerwatch.sources.idempotent import append_once, in_partitions, stored
+from ledgerwatch.sources.idempotent import append_counted, append_once, in_partitions, stored
 from ledgerwatch.sources.shared import SharedTable
 from ledgerwatch.streaming.arrival_state import StateConfig, arrival_window_stream
 from ledgerwatch.streaming.event_time import event_time_window_stream
@@ -25,6 +25,7 @@ RULE_STAGE = "RULE_ENGINE_ERROR"
 PARSE_STAGE = "PAYLOAD_ERROR"
 _EMPTY_WINDOW = {"window_count": "long", "window_sum": WINDOW_SUM}
 _FAULT = ("failure_stage", "error_type", "error_message", "payload_json")
+COUNTERS = "batch_id long, metric string, n long"
 # Offsets of one block share a partition of the log and of the dead letters.
 OFFSET_BLOCK = 1_000_000
 
@@ -37,6 +38,7 @@ class Sinks:
     micro-batch reads only the partitions its own rows fall into. An event id belongs to one
     event time: a redelivery under another date would be another event.
 
+    ``counters`` names a table of what each micro-batch added (``stored_counters``).
     ``shared`` makes the sinks tables that several streams may write to (``SharedTable``);
     each still needs a checkpoint of its own."""
 
@@ -46,6 +48,7 @@ class Sinks:
     checkpoint: str
     envelopes: str | None = None
     shared: bool = False
+    counters: str | None = None
 
     @classmethod
     def under(cls, folder: str, shared: bool = False) -> Sinks:
@@ -57,6 +60,7 @@ class Sinks:
             f"{base}/checkpoint",
             f"{base}/envelopes",
             shared,
+            f"{base}/counters",
         )
 
     def stored_results(self, spark: SparkSession) -> DataFrame | None:
@@ -75,6 +79,34 @@ class Sinks:
         else:
             append_once(rows, target, keys, order, [partition])
 
+    def append_counted(
+        self,
+        rows: DataFrame,
+        target: str,
+        keys: list[str],
+        order: list[str],
+        partition: str,
+        counts: dict[str, Column],
+    ) -> dict[str, int]:
+        """Counts are taken where one stream writes; a shared table has no batches."""
+        if self.shared or not self.counters:
+            self.append(rows, target, keys, order, partition)
+            return {}
+        return append_counted(rows, target, keys, order, counts, [partition])
+
+    def add_counts(self, spark: SparkSession, batch_id: int | None, counts: dict[str, int]) -> None:
+        if not counts or batch_id is None:
+            return
+        rows = spark.createDataFrame([(batch_id, k, n) for k, n in counts.items()], COUNTERS)
+        append_once(rows, self.counters, ["batch_id", "metric"], ["metric"])
+
+
+def stored_counters(spark: SparkSession, path: str) -> DataFrame:
+    """(metric, n) over all micro-batches of a stream."""
+    rows = stored(spark, path, COUNTERS)
+    rows = spark.createDataFrame([], COUNTERS) if rows is None else rows
+    return rows.groupBy("metric").agg(F.sum("n").alias("n"))
+
 
 def rule_failure() -> Column:
     """Rows no rule can be evaluated on."""
@@ -156,6 +188,7 @@ def store_batch(
     stateful: bool,
     group: str = "fraud-consumer",
     final_status: bool = False,
+    batch_id: int | None = None,
 ) -> None:
     """Write one micro-batch: log, dead letters with their envelopes, results, in that order.
 
@@ -178,7 +211,9 @@ def store_batch(
         dead = to_dead_letters(failed, F.col("failure_stage"), now)
         keys = ["source_topic", "source_partition", "source_offset"]
         dead = dead.withColumn("offset_block", F.floor(F.col("source_offset") / OFFSET_BLOCK))
-        sinks.append(dead, sinks.dead_letters, keys, keys, "offset_block")
+        counts = sinks.append_counted(
+            dead, sinks.dead_letters, keys, keys, "offset_block", {"dlq_published": F.lit(True)}
+        )
         if sinks.envelopes:
             sent = to_envelopes(dead, *keys, "offset_block")
             sinks.append(sent, sinks.envelopes, keys, keys, "offset_block")
@@ -189,7 +224,19 @@ def store_batch(
         results = scored.select(
             *FRAUD_RESULT.fieldNames(), *position[1:], F.to_date("event_time").alias("event_date")
         )
-        sinks.append(results, sinks.results, ["event_id"], position[1:], "event_date")
+        tests = {
+            "results": F.lit(True),
+            "degraded": F.col("degraded"),
+            "high_risk": F.col("risk_level") == rule_set.bands[-1][1],
+            **{
+                f"skipped:{code}": F.array_contains("skipped_rules", code)
+                for code in rule_set.skippable()
+            },
+        }
+        counts |= sinks.append_counted(
+            results, sinks.results, ["event_id"], position[1:], "event_date", tests
+        )
+        sinks.add_counts(given.sparkSession, batch_id, counts)
     finally:
         given.unpersist()
 
@@ -277,8 +324,10 @@ def detect_stream(
     ship_package(events.sparkSession)
     answered = detect(events, stateful, config, unreadable, watermark, late)
 
-    def store(batch: DataFrame, _: int) -> None:
-        store_batch(batch, sinks, rule_set, stateful, final_status=final_status)
+    def store(batch: DataFrame, batch_id: int) -> None:
+        store_batch(
+            batch, sinks, rule_set, stateful, final_status=final_status, batch_id=batch_id
+        )
 
     writer = (
         answered.writeStream.outputMode("append")

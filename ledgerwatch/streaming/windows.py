@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ledgerwatch.operators.operations import alert_windows, rates
+from ledgerwatch.operators.operations import alert_windows, held_alerts, rates
 
 
 def alert_stream(results: DataFrame, late: str = "10 minutes") -> DataFrame:
@@ -12,6 +12,11 @@ def alert_stream(results: DataFrame, late: str = "10 minutes") -> DataFrame:
     return alert_windows(results.withWatermark("detected_at", late))
 
 
+def held_alert_stream(results: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """Alerts that hold, each once: in append mode, when the watermark passes their window."""
+    return held_alerts(results.withWatermark("detected_at", late))
+
+
 def rate_stream(
     df: DataFrame, at: str, late: str = "10 minutes", interval: str = "1 minute"
 ) -> DataFrame:
