@@ -12,7 +12,7 @@ from checks.registry import check
 from ledgerwatch.functions.digest import pseudonym
 from ledgerwatch.config import LOCAL_SALT
 from ledgerwatch.operators import evaluation as ev
-from ledgerwatch.operators import leaks, quality, replay, reports, sampling, windows
+from ledgerwatch.operators import contract, leaks, quality, replay, reports, sampling, windows
 from ledgerwatch.operators.paysim import scoring_columns
 from ledgerwatch.operators.results import (
     action_policy as actions_of,
@@ -981,6 +981,77 @@ def evaluate(spark, sf_dir):
     )
 
 
+def _contract_report(spark, sf_dir):
+    report = ev.evaluate(
+        tables.sim_labels(spark, sf_dir),
+        tables.sim_results(spark, sf_dir),
+        tables.sim_rejects(spark, sf_dir),
+        OPTIONS,
+    )
+    return contract.contract_report(report, OPTIONS)
+
+
+@check(
+    "report_contract",
+    ("summary",),
+    """SELECT threshold_version AS thresholdVersion, '2026-06-v2-phase12' AS reportSchemaVersion,
+         evaluatedEvents AS totalEvents, truePositive + falseNegative AS fraudLabeledEvents,
+         truePositive + falsePositive AS detectedFraudEvents,
+         falsePositive + falseNegative AS misclassifiedEvents,
+         excludedReplayRejected AS evaluationExcludedRecords, max_review AS review_budget,
+         coalesce(blockedCandidateRate <= max_block, true) AS blocked_within, precision,
+         ruleVersionCoverageRate AS rule_coverage, true AS sound FROM summary""",
+)
+def report_contract(spark, sf_dir):
+    """Fields of the report's contract, and whether the report keeps it."""
+    report = _contract_report(spark, sf_dir)
+    broken = contract.report_violations(report).select("thresholdVersion").distinct()
+    work = F.col("operatorWorkloadSummary")
+    return report.join(broken.withColumn("broken", F.lit(True)), "thresholdVersion", "left").select(
+        "thresholdVersion",
+        "reportSchemaVersion",
+        "totalEvents",
+        "fraudLabeledEvents",
+        "detectedFraudEvents",
+        "misclassifiedEvents",
+        "evaluationExcludedRecords",
+        work["workloadBudget"]["maxReviewCandidateRateCandidate"].alias("review_budget"),
+        work["budgetStatus"]["blockedCandidateRateWithinBudget"].alias("blocked_within"),
+        F.col("metrics")["precision"].alias("precision"),
+        F.col("ruleVersionCoverage")["coverageRate"].alias("rule_coverage"),
+        F.col("broken").isNull().alias("sound"),
+    )
+
+
+@check(
+    "report_violations",
+    ("summary",),
+    """SELECT threshold_version AS thresholdVersion, unnest(CASE threshold_version
+         WHEN 'threshold-v1' THEN ['COUNT:confusionMatrix', 'COUNT:truePositiveEvents',
+           'COUNT:fraudLabeledEvents', 'COUNT:evaluatedFraudLabeledEvents',
+           'COUNT:detectedFraudEvents', 'RATE:precision', 'RATE:recall', 'RATE:f1Score',
+           'RATE:falseNegativeRate', 'RATE:accuracy']
+         ELSE ['RAW_IDENTIFIER', 'COUNT:failedRecords', 'FORBIDDEN_TEXT:token'] END) AS problem
+       FROM summary""",
+)
+def report_violations(spark, sf_dir):
+    """The two reports with faults: one matrix with more hits than events, one with failed
+    records and an account in its warnings."""
+    report = _contract_report(spark, sf_dir)
+    first = F.col("thresholdVersion") == "threshold-v1"
+    more = F.col("confusionMatrix")["truePositive"] + 1 + F.col("totalEvents")
+    matrix = F.col("confusionMatrix").withField("truePositive", more)
+    leak = F.concat("warnings", F.array(F.lit("token of C1234567 seen")))
+    faulty = report.withColumns(
+        {
+            "confusionMatrix": F.when(first, matrix).otherwise(F.col("confusionMatrix")),
+            "failedRecords": F.when(first, F.col("failedRecords")).otherwise(F.lit(3).cast("bigint")),
+            "warnings": F.when(first, F.col("warnings")).otherwise(leak),
+        }
+    )
+    return contract.report_violations(faulty)
+
+
 @check(
     "evidence_ids",
     ("joined",),
