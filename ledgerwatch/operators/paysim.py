@@ -59,6 +59,10 @@ class Prepared:
     def rejected(self) -> DataFrame:
         return rejects_of(self.tagged)
 
+    @cached_property
+    def lines(self) -> DataFrame:
+        return lines_of(self.tagged, self.base_time, self.salt)
+
 
 def _checks() -> list[tuple[Column, Column | str, Column | str]]:
     """(failed, reason, message), in order; the first failure wins."""
@@ -150,20 +154,12 @@ def _sequence() -> Column:
     return F.when(F.length(number) >= 9, number).otherwise(F.lpad(number, 9, "0"))
 
 
-def events_of(
-    tagged: DataFrame, base_time: str = BASE_TIME, salt: str = LOCAL_SALT
-) -> DataFrame:
-    """Events of the acceptable rows. Names only leave as keyed pseudonyms."""
+def _event_columns(base_time: str) -> list[Column]:
+    """Of an acceptable row with its pseudonyms."""
     step = strict_int(F.col("step"))
     event_time = F.timestamp_add("HOUR", step, F.to_timestamp(F.lit(base_time)))
-    good = tagged.filter(F.col("reject_position").isNull()).select(
-        "*",
-        pseudonym(F.col("nameOrig"), salt).alias("__origin"),
-        pseudonym(F.col("nameDest"), salt).alias("__destination"),
-    )
     normalized = F.col("normalized_type")
-    return good.select(
-        "row_number",
+    return [
         F.concat(F.lit("paysim-"), _sequence()).alias("eventId"),
         F.concat(F.lit("U-"), F.col("__origin")).alias("userId"),
         F.concat(F.lit("A-"), F.col("__origin")).alias("accountId"),
@@ -183,13 +179,11 @@ def events_of(
             step.alias("sourceStep"),
             *[plain_decimal(F.col(rawname)).alias(out) for rawname, out in BALANCES],
         ).alias("balanceFeatures"),
-    )
+    ]
 
 
-def labels_of(tagged: DataFrame) -> DataFrame:
-    """Label sidecar of the acceptable rows."""
-    return tagged.filter(F.col("reject_position").isNull()).select(
-        "row_number",
+def _label_columns() -> list[Column]:
+    return [
         F.concat(F.lit("paysim-"), _sequence()).alias("eventId"),
         strict_flag(F.col("isFraud")).alias("isFraud"),
         strict_flag(F.col("isFlaggedFraud")).alias("sourceFlaggedFraud"),
@@ -198,17 +192,64 @@ def labels_of(tagged: DataFrame) -> DataFrame:
         F.col("normalized_type").alias("normalizedType"),
         F.col("support_level").alias("typeSupportLevel"),
         F.lit(MAPPING_VERSION).alias("typeMappingPolicyVersion"),
-    )
+    ]
 
 
-def rejects_of(tagged: DataFrame) -> DataFrame:
-    """Reject records. They never carry raw identifiers."""
-    return tagged.filter(F.col("reject_position").isNotNull()).select(
+def _reject_columns() -> list[Column]:
+    return [
         F.col("row_number").alias("rowNumber"),
         F.col("reject_reason").alias("reason"),
         F.col("type").alias("rawType"),
         F.col("reject_message").alias("message"),
-    )
+    ]
+
+
+def _pseudonyms(salt: str) -> list[Column]:
+    return [
+        pseudonym(F.col("nameOrig"), salt).alias("__origin"),
+        pseudonym(F.col("nameDest"), salt).alias("__destination"),
+    ]
+
+
+def events_of(
+    tagged: DataFrame, base_time: str = BASE_TIME, salt: str = LOCAL_SALT
+) -> DataFrame:
+    """Events of the acceptable rows. Names only leave as keyed pseudonyms."""
+    good = tagged.filter(F.col("reject_position").isNull()).select("*", *_pseudonyms(salt))
+    return good.select("row_number", *_event_columns(base_time))
+
+
+def labels_of(tagged: DataFrame) -> DataFrame:
+    """Label sidecar of the acceptable rows."""
+    good = tagged.filter(F.col("reject_position").isNull())
+    return good.select("row_number", *_label_columns())
+
+
+def rejects_of(tagged: DataFrame) -> DataFrame:
+    """Reject records. They never carry raw identifiers."""
+    return tagged.filter(F.col("reject_position").isNotNull()).select(*_reject_columns())
+
+
+def lines_of(
+    tagged: DataFrame, base_time: str = BASE_TIME, salt: str = LOCAL_SALT
+) -> DataFrame:
+    """(kind, value): all three outputs as JSON lines, from one pass over the tagged rows. An
+    acceptable row gives a line of ``events`` and one of ``labels``, another row a line of
+    ``rejected``."""
+
+    def line(kind: str, columns: list[Column]) -> Column:
+        value = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+        return F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+
+    good = F.col("reject_position").isNull()
+    accepted = F.array(line("events", _event_columns(base_time)), line("labels", _label_columns()))
+    rejected = F.array(line("rejected", _reject_columns()))
+    named = tagged.select("*", *[F.when(good, p).alias(n) for p, n in zip(
+        _pseudonyms(salt), ("__origin", "__destination"), strict=True
+    )])
+    # Outer, as the planner would test an inner one's array a second time below it.
+    lines = named.select(F.explode_outer(F.when(good, accepted).otherwise(rejected)).alias("line"))
+    return lines.select("line.kind", "line.value")
 
 
 def scoring_columns(events: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -143,24 +144,48 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def write_paysim_outputs(prepared: Prepared, folder: str, force: bool = False) -> OutputPaths:
-    """Events, labels and rejects as JSON lines. Refuses to touch a folder where any output
-    exists unless ``force``. Persist the tagged plan first: the three writes share it."""
+    """Events, labels and rejects as JSON lines, in one pass over the raw rows. Refuses to
+    touch a folder where any output exists unless ``force``.
+
+    One job writes all lines below a staging folder, by kind; the three folders then get their
+    names by renaming. A job that fails leaves no output, nor does a failed renaming: what
+    had been renamed is taken back, and outputs that were to be replaced are put back.
+    """
     paths = OutputPaths.under(folder)
-    spark = prepared.events.sparkSession
-    targets = (
-        (prepared.events.drop("row_number"), paths.events),
-        (prepared.labels.drop("row_number"), paths.labels),
-        (prepared.rejected, paths.rejected),
-    )
-    if not force:
-        taken = [p for _, p in targets if path_exists(spark, p)]
-        if taken:
-            raise FileExistsError(f"output already exists: {', '.join(taken)}")
-    for df, path in targets:
-        df.write.mode(_save_mode(force)).option("ignoreNullFields", False).json(path)
+    spark = prepared.tagged.sparkSession
+    targets = {"events": paths.events, "labels": paths.labels, "rejected": paths.rejected}
+    taken = [p for p in targets.values() if path_exists(spark, p)]
+    if taken and not force:
+        raise FileExistsError(f"output already exists: {', '.join(taken)}")
+    store, of = file_system(spark, folder)
+    stage = f"{folder.rstrip('/')}/_staging-{uuid.uuid4().hex}"
+    try:
+        prepared.lines.write.partitionBy("kind").text(f"{stage}/new")
+        for kind in targets:  # a kind without rows is an empty folder
+            store.mkdirs(of(f"{stage}/new/kind={kind}"))
+        store.mkdirs(of(f"{stage}/old"))
+        moves = [(p, f"{stage}/old/{place}") for place, p in enumerate(taken)]
+        moves += [(f"{stage}/new/kind={kind}", p) for kind, p in targets.items()]
+        _rename_all(store, of, moves)
+    finally:
+        store.delete(of(stage), True)
     return paths
 
 
+def _rename_all(store, of, moves: list[tuple[str, str]]) -> None:
+    """All of the moves, or none."""
+    done = []
+    for source, target in moves:
+        try:
+            if not store.rename(of(source), of(target)):
+                raise OSError(f"cannot rename {source} to {target}")
+        except Exception:
+            for back, gone in reversed(done):
+                store.rename(of(gone), of(back))
+            raise
+        done.append((source, target))
+
+
 def write_report(report: DataFrame, path: str, force: bool = False) -> None:
     """A one-row report as a single JSON document with sorted top-level keys."""
     ordered = report.select(*[f"`{c}`" for c in sorted(report.columns)])

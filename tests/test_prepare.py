@@ -170,6 +170,45 @@ def test_csv_and_whole_run(spark, folder):
     tagged.unpersist()
 
 
+def test_outputs_are_one_pass_and_all_or_none(spark, folder, monkeypatch):
+    from ledgerwatch.sources import files
+
+    rows = [(i, str(i), *GOOD[1:]) for i in range(1, 60)] + [(60, "x", *GOOD[1:])]
+    schema = "row_number long, " + ", ".join(f"{c} string" for c in PAYSIM_COLUMNS)
+    spark.createDataFrame(rows, schema).write.parquet(f"{folder}/raw")
+    prepared = Prepared(normalize_paysim(spark.read.parquet(f"{folder}/raw")))
+    plan = prepared.lines._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("] parquet") == 1
+    out = write_paysim_outputs(prepared, f"{folder}/out")
+    for path, table in ((out.events, prepared.events), (out.labels, prepared.labels)):
+        found = read_jsonl(spark, path, table.drop("row_number").schema)
+        assert sorted(map(str, found.collect())) == sorted(map(str, table.drop("row_number").collect()))
+    found = read_jsonl(spark, out.rejected, prepared.rejected.schema)
+    assert found.collect() == prepared.rejected.collect() and found.count() == 1
+    assert sorted(os.listdir(f"{folder}/out")) == sorted(
+        os.path.basename(p) for p in (out.events, out.labels, out.rejected)
+    )
+    # A failing job leaves no output, and with force the old one stays as it was.
+    before = {p: sorted(os.listdir(p)) for p in (out.events, out.labels, out.rejected)}
+    failing = Prepared(normalize_paysim(spark.read.parquet(f"{folder}/raw"), fail_fast=True))
+    for target, force in ((f"{folder}/none", False), (f"{folder}/out", True)):
+        with pytest.raises(Exception, match="row 60"):
+            write_paysim_outputs(failing, target, force)
+    assert not os.path.exists(f"{folder}/none/paysim-events.jsonl")
+    assert {p: sorted(os.listdir(p)) for p in before} == before
+
+    # Nor does a renaming that fails in the middle.
+    def second_fails(store, of, moves):
+        broken = [*moves[:-1], ("/nowhere/at/all", moves[-1][1])]
+        return renamed(store, of, broken)
+
+    renamed = files._rename_all
+    monkeypatch.setattr(files, "_rename_all", second_fails)
+    with pytest.raises(Exception, match="nowhere"):
+        write_paysim_outputs(prepared, f"{folder}/out", force=True)
+    assert {p: sorted(os.listdir(p)) for p in before} == before
+
+
 def test_csv_header_is_required(spark, folder):
     write_csv(f"{folder}/in.csv", [GOOD[:-2]], PAYSIM_COLUMNS[:-2], bom=False)
     with pytest.raises(ValueError, match="isFlaggedFraud, isFraud"):
