@@ -598,6 +598,37 @@ def validation_summary(spark, sf_dir):
     )
 
 
+@check(
+    "validation_checks",
+    ("tagged", "sim_events", "sim_labels"),
+    """SELECT check_name, expected, actual, expected = actual AS ok FROM (
+         WITH c AS (SELECT
+           (SELECT count(*) FROM tagged) AS total, (SELECT count(problem) FROM tagged) AS rejected,
+           (SELECT count(*) FROM sim_events) AS events, (SELECT count(*) FROM sim_labels) AS labels,
+           (SELECT count(*) FILTER (isFraud) FROM sim_labels) AS fraud,
+           (SELECT count(*) FILTER (sourceFlaggedFraud) FROM sim_labels) AS flagged),
+         types AS (
+           SELECT t, (SELECT count(*) FROM sim_events WHERE nativeEventType = t) AS n
+           FROM (SELECT unnest(['CASH_IN', 'CASH_OUT', 'DEBIT', 'PAYMENT', 'TRANSFER']) AS t))
+         SELECT 'TOTAL_NOT_EMPTY' AS check_name, 'true' AS expected,
+           CASE WHEN total > 0 THEN 'true' ELSE 'false' END AS actual FROM c UNION ALL
+         SELECT v.name, v.e::VARCHAR, v.a::VARCHAR FROM c, LATERAL (VALUES
+           ('ACCEPTED_EVENTS', total - rejected, events),
+           ('ACCEPTED_LABELS', total - rejected, labels),
+           ('REJECTED_ROWS', rejected, total - events),
+           ('TOTAL_ROWS', total, events + rejected),
+           ('FRAUD_ROWS', fraud, fraud), ('FLAGGED_ROWS', flagged, flagged),
+           ('TYPE_SUM', total - rejected, events)) v(name, e, a) UNION ALL
+         SELECT 'TYPE_COUNT:' || t, n::VARCHAR, n::VARCHAR FROM types)""",
+)
+def validation_checks(spark, sf_dir):
+    """All checks of the summary that compare counts, with both sides."""
+    parts = tables.prepared(spark, sf_dir)
+    report = reports.prepare_report(tables.tagged(spark, sf_dir))
+    found = quality.validation_summary(parts.events, parts.labels, parts.rejected, report)
+    return found.filter(F.col("check_name") != "REJECT_RATIO")
+
+
 @check(
     "check_results",
     ("sim_results", "kept_results"),
