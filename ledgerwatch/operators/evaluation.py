@@ -3,8 +3,9 @@
 ``join_labels_results`` brings labels, results and pre-send rejects together in one co-keyed
 join. ``evaluation_cube`` reduces that to counts per combination of the few categorical facts
 the report needs; every metric and distribution is then a tiny aggregate of the cube, so all
-numbers of all threshold policies come from one join. ``evaluate`` reads its input twice more:
-for the checks of its contract, and for the ids given as evidence.
+numbers of all threshold policies come from one join. ``evaluate`` reads its input twice more,
+for the checks of its contract and for the ids given as evidence, so it has what made that
+input computed once before.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ from ledgerwatch.operators.quality import (
 )
 from ledgerwatch.operators.replay import strip_event_id_prefix
 from ledgerwatch.operators.typemap import map_native_type
+from ledgerwatch.session import ensure_checkpoint_dir
 
 
 @dataclass(frozen=True)
@@ -47,6 +49,9 @@ class EvaluationOptions:
     require_rule_version: bool = False
     # Refuse labels and results that break the input contract, see ``input_violations``.
     check_inputs: bool = True
+    # Write labels and results to the checkpoint folder first. They are read for the join, the
+    # checks and the evidence; leave it out where both are stored tables already.
+    materialize: bool = True
 
 
 # ---------------------------------------------------------------- results
@@ -554,6 +559,9 @@ def evaluate(
     """
     options = options or EvaluationOptions()
     prefix = options.event_id_prefix
+    if options.materialize:
+        ensure_checkpoint_dir(labels.sparkSession)
+        labels, results = labels.checkpoint(), results.checkpoint()
     ids = None
     if rejects is not None and options.exclude_replay_rejected:
         ids = replay_rejected_ids(rejects, prefix)
