@@ -25,6 +25,23 @@ def page_dlq(spark, sf_dir):
     return items.select("event_id", "status", "created_at")
 
 
+@check(
+    "page_dlq_by_key",
+    ("dlq",),
+    """SELECT event_id, status, (epoch_us(created_at) // 1000) AS created_at FROM dlq
+       WHERE status = 'PENDING' ORDER BY created_at DESC, event_id LIMIT 20 OFFSET 40""",
+)
+def page_dlq_by_key(spark, sf_dir):
+    """The third page, reached by the last rows of the two before."""
+    pending = tables.dlq(spark, sf_dir).filter("status = 'PENDING'")
+    pending = pending.select("event_id", "status", "created_at")
+    last = None
+    for _ in range(2):
+        shown = results.page_after(pending, 20, last).collect()
+        last = shown[-1] if shown else last
+    return results.page_after(pending, 20, last)
+
+
 @check(
     "page_dlq_total",
     ("dlq",),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ledgerwatch.config import ACTION_POLICY, CASE_LEVELS, SCHEMA_VERSION
@@ -112,6 +112,22 @@ def page(
     return items, df.agg(F.count("*").alias("total"))
 
 
+def page_after(
+    df: DataFrame, size: int = 20, last: Row | None = None, order: str = "created_at", key: str = "event_id"
+) -> DataFrame:
+    """The page behind the ``last`` row of the one before (the first page without it), newest
+    first, ties by key. However deep, a page costs a filter that reaches the scan and a top-n
+    of ``size`` rows; ``page`` has to bring all rows of the pages before it together. Rows
+    without a time are left out: they have no place in the order."""
+    rows = df.filter(F.col(order).isNotNull())
+    if last is not None:
+        at = F.lit(last[order])
+        rows = rows.filter(
+            (F.col(order) < at) | ((F.col(order) == at) & (F.col(key) > F.lit(last[key])))
+        )
+    return rows.orderBy(F.desc(order), key).limit(size)
+
+
 def rule_version_summary(results: DataFrame) -> DataFrame:
     """(rule_version, n); NULL stands for results stored without a version."""
     version = F.when(~is_blank(F.col("rule_version")), F.col("rule_version"))

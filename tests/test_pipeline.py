@@ -145,6 +145,19 @@ def test_page(spark):
     assert total.first()["total"] == 95
 
 
+def test_pages_by_key_walk_the_whole_table(spark):
+    from ledgerwatch.operators.results import page_after
+
+    rows = [(f"e{i:03}", T0 + timedelta(seconds=i // 4) if i % 9 else None) for i in range(95)]
+    df = spark.createDataFrame(rows, "event_id string, created_at timestamp")
+    seen, last = [], None
+    while shown := page_after(df, 20, last).collect():
+        seen += [r["event_id"] for r in shown]
+        last = shown[-1]
+    wanted = sorted((r for r in rows if r[1]), key=lambda r: (-r[1].timestamp(), r[0]))
+    assert seen == [r[0] for r in wanted]
+
+
 def run_stream(spark, source, out, **options):
     events = read_row_stream(spark, source, {"maxFilesPerTrigger": "1"})
     query = detect_stream(events, Sinks.under(out), available_now=True, **options)
