@@ -180,13 +180,16 @@ def strip_event_id_prefix(event_id: Column, prefix: str | None) -> Column:
     ).otherwise(event_id)
 
 
-def to_replay_request(accepted: DataFrame, prefix: str | None = None) -> DataFrame:
-    """The request columns of accepted events, the trace id beside them."""
+def to_replay_request(
+    accepted: DataFrame, prefix: str | None = None, *beside: str
+) -> DataFrame:
+    """The request columns of accepted events, the trace id and the columns ``beside`` them."""
     kept = [c for c in REQUEST_FIELDS if c in accepted.columns and c != "eventId"]
     return accepted.select(
         prefix_event_id(F.col("eventId"), prefix).alias("eventId"),
         *kept,
         "traceId",
+        *beside,
     )
 
 

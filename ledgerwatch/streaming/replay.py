@@ -14,6 +14,8 @@ from ledgerwatch.operators.sampling import limit_rows
 from ledgerwatch.sources.files import file_system, number_rows
 
 BATCH = "replay_batch"
+# What a micro-batch of a replay without pace takes at most, one staged file at least.
+BYTES_PER_TRIGGER = 1 << 30
 
 
 @dataclass(frozen=True)
@@ -88,24 +90,29 @@ def replay_paced(
     every: str | None = None,
     name: str | None = None,
 ) -> StreamingQuery:
-    """Sends staged events in order, one file a micro-batch: check, shape to requests, append
-    as JSON below ``target``, a folder for each micro-batch.
-
-    With ``every`` (like ``1 second``) a micro-batch starts at that interval, so the rate is
-    ``rows_per_batch`` for each; the query then runs until it is stopped. Without it the
-    micro-batches follow each other and the query ends. A restart goes on after the last
-    micro-batch that was written, and writes an interrupted one again in its own folder.
+    """Sends staged events in order: check, shape to requests, append as JSON below
+    ``target``, a folder for each staged file that has requests.
+
+    With ``every`` (like ``1 second``) a micro-batch is one file and starts at that interval,
+    so the rate is ``rows_per_batch`` for each; the query then runs until it is stopped.
+    Without it there is no pace to keep: a micro-batch takes the next files up to
+    ``BYTES_PER_TRIGGER``, and the query ends. A restart goes on after the last micro-batch
+    that was written, and writes the folders of an interrupted one again.
     """
-    stream = (
-        spark.readStream.schema(staged.events.withColumn(BATCH, F.lit(0).cast("long")).schema)
-        .option("maxFilesPerTrigger", 1)
-        .parquet(staged.path)
+    stream = spark.readStream.schema(
+        staged.events.withColumn(BATCH, F.lit(0).cast("long")).schema
     )
+    if every:
+        stream = stream.option("maxFilesPerTrigger", 1)
+    else:
+        stream = stream.option("maxBytesPerTrigger", BYTES_PER_TRIGGER)
+    stream = stream.parquet(staged.path)
 
     def send(batch: DataFrame, batch_id: int) -> None:
-        accepted = validate_replay(batch.drop(BATCH)).filter("replay_reason IS NULL")
-        requests = to_replay_request(accepted, prefix)
-        requests.write.mode("overwrite").json(f"{target}/batch={batch_id}")
+        accepted = validate_replay(batch).filter("replay_reason IS NULL")
+        requests = to_replay_request(accepted, prefix, BATCH)
+        writer = requests.withColumnRenamed(BATCH, "batch").write.mode("overwrite").partitionBy("batch")
+        writer.option("partitionOverwriteMode", "dynamic").json(target)
 
     writer = stream.writeStream.foreachBatch(send).option("checkpointLocation", checkpoint)
     if name:
