@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -125,28 +127,39 @@ def scan_leaks(
     return df.withColumn("leaks", F.array_distinct(F.array_compact(codes)))
 
 
-# A string of a JSON text, its text in group 1, a colon in group 2 if it is a key. Written with
-# possessive repetition, so that long strings take no stack.
-_JSON_STRING = r'"([^"\\]*+(?:\\.[^"\\]*+)*+)"(\s*:)?'
+# A string of a JSON text, with the colon that follows if it is a key. Written with possessive
+# repetition, so that long strings take no stack.
+_JSON_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"(?:\s*:)?'
 
 
-def json_strings(payload: Column, keys: bool) -> Column:
-    """The decoded keys, or the decoded string values, of a JSON text at any depth."""
-    texts = F.regexp_extract_all(payload, F.lit(_JSON_STRING), 1)
-    colons = F.regexp_extract_all(payload, F.lit(_JSON_STRING), 2)
-    both = F.arrays_zip(texts.alias("text"), colons.alias("colon"))
-    wanted = F.filter(both, lambda s: (s["colon"] != "") if keys else (s["colon"] == ""))
+def _strings(payload: Column) -> Column:
+    """The strings of a JSON text as they are written, in quotes, keys with their colon."""
+    return F.regexp_extract_all(payload, F.lit(_JSON_STRING), 0)
+
 
+def _decoded(strings: Column, keys: bool) -> Column:
     def decoded(item: Column) -> Column:
-        quoted = F.concat(F.lit('["'), item["text"], F.lit('"]'))
+        rest = F.length(F.substring_index(item, '"', -1)) if keys else F.lit(0)
+        text = item.substr(F.lit(2), F.length(item) - rest - 2)
+        quoted = F.concat(F.lit("["), item.substr(F.lit(1), F.length(item) - rest), F.lit("]"))
         plain = F.get(F.from_json(quoted, "array<string>"), 0)
-        return F.when(item["text"].contains("\\"), F.coalesce(plain, item["text"])).otherwise(
-            item["text"]
-        )
+        return F.when(item.contains("\\"), F.coalesce(plain, text)).otherwise(text)
 
+    wanted = F.filter(strings, lambda s: s.endswith(":") if keys else s.endswith('"'))
     return F.transform(wanted, decoded)
 
 
+def json_strings(payload: Column, keys: bool) -> Column:
+    """The decoded keys, or the decoded string values, of a JSON text at any depth."""
+    return _decoded(_strings(payload), keys)
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used: as the only
+    element of an array, it is bound to the parameter of a transform."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def scan_json_leaks(
     payload: Column,
     forbid_labels: bool = False,
@@ -155,9 +168,15 @@ def scan_json_leaks(
 ) -> Column:
     """Leak codes of a JSON text of unknown depth, from its decoded keys and string values:
     what is written with escapes counts as what it stands for."""
-    keys = json_strings(payload, keys=True)
-    checks = key_checks(keys, forbid_labels, forbid_salt, forbid_report, name_salts=False)
-    values = F.exists(json_strings(payload, keys=False), holds_raw_id)
-    checks.append((F.coalesce(values, F.lit(False)), "RAW_IDENTIFIER_VALUE"))
-    codes = F.array(*[F.when(test, F.lit(code)) for test, code in checks])
-    return F.array_distinct(F.array_compact(codes))
+
+    def codes(strings: Column) -> Column:
+        values = F.exists(_decoded(strings, keys=False), holds_raw_id)
+
+        def found(keys: Column) -> Column:
+            checks = key_checks(keys, forbid_labels, forbid_salt, forbid_report, name_salts=False)
+            checks.append((F.coalesce(values, F.lit(False)), "RAW_IDENTIFIER_VALUE"))
+            return F.array(*[F.when(test, F.lit(code)) for test, code in checks])
+
+        return _once(_decoded(strings, keys=True), found)
+
+    return F.array_distinct(F.array_compact(_once(payload, lambda text: _once(_strings(text), codes))))
