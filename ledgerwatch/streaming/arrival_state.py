@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from typing import Any
 
-import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -28,7 +28,10 @@ OUT_SCHEMA = (
     "user_id string, event_id string, payload string, "
     "window_count long, window_sum decimal(38,12), duplicate boolean"
 )
-OUT_COLUMNS = [field.split()[0] for field in OUT_SCHEMA.split(", ")]
+OUT_ROW = Row(*[field.split()[0] for field in OUT_SCHEMA.split(", ")])
+# Ids of one value of the state, and values of a user that are read whole.
+LEAST_PACK, MOST_PACK, MOST_PACKS = 8, 1024, 8
+PACKS = "seen_packs"
 PAYLOAD_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
 
@@ -42,11 +45,21 @@ class StateConfig:
     seen_ttl_ms: int = 24 * 60 * 60 * 1000
 
 
+def in_order(rows: Iterator[Row]) -> list[Row]:
+    """Rows of a user in order of arrival."""
+    return sorted(rows, key=lambda row: (row.partition_no, row.offset_no))
+
+
 class ArrivalWindowProcessor(StatefulProcessor):
     """Per user: live window entries (id -> time, amount) and ids already scored.
 
     A repeated id is flagged before the window is touched. Rows of a micro-batch are taken in
     (partition, offset) order; a micro-batch is bounded by the source's per-trigger limit.
+    Rows are tuples, not data frames: most users have few of them in a micro-batch.
+
+    A call to the state costs more than an event, so scored ids go into packs of many where a
+    micro-batch has many of a user. Packs are read whole, so a user has ``MOST_PACKS`` at most;
+    other ids are entries of their own, looked up singly.
     """
 
     def __init__(self, config: StateConfig) -> None:
@@ -59,11 +72,13 @@ class ArrivalWindowProcessor(StatefulProcessor):
         self.seen = handle.getMapState(
             "seen", "event_id string", "flag boolean", self.config.seen_ttl_ms or None
         )
+        self.packs = handle.getMapState(
+            PACKS, "pack_no int", "ids string", self.config.seen_ttl_ms or None
+        )
 
     def handleInputRows(
-        self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any
-    ) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["partition_no", "offset_no"])
+        self, key: Any, rows: Iterator[Row], timerValues: Any
+    ) -> Iterator[Row]:
         window = RecentEntries(self.config.window_ms)
         where: dict[str, int] = {}
         stored: set[str] = set()
@@ -71,13 +86,19 @@ class ArrivalWindowProcessor(StatefulProcessor):
             window.add(event_id, at, amount)
             where[event_id] = at
             stored.add(event_id)
+        packs = {no: json.loads(ids) for (no,), (ids,) in self.packs.iterator()}
+        packed = {event_id for ids in packs.values() for event_id in ids}
+        single = self.seen.exists()
         fresh: set[str] = set()
         out = []
-        for event_id, at, amount, payload in batch[
-            ["event_id", "ms", "amount", "payload"]
-        ].itertuples(index=False, name=None):
-            if event_id in fresh or self.seen.containsKey((event_id,)):
-                out.append((key[0], event_id, payload, None, None, True))
+        for row in in_order(rows):
+            event_id, at, amount, payload = row.event_id, row.ms, row.amount, row.payload
+            if (
+                event_id in fresh
+                or event_id in packed
+                or (single and self.seen.containsKey((event_id,)))
+            ):
+                out.append(OUT_ROW(key[0], event_id, payload, None, None, True))
                 continue
             fresh.add(event_id)
             if event_id in where:
@@ -87,15 +108,23 @@ class ArrivalWindowProcessor(StatefulProcessor):
                 where[event_id] = at
             for gone in window.evict_before(at - self.config.window_ms):
                 where.pop(gone, None)
-            out.append((key[0], event_id, payload, *window.up_to(at), False))
+            out.append(OUT_ROW(key[0], event_id, payload, *window.up_to(at), False))
         live = {entry_id: amount for entry_id, amount in window.items[window.head :]}
         for event_id in stored - where.keys():
             self.entries.removeKey((event_id,))
         for event_id in where.keys() & fresh:
             self.entries.updateValue((event_id,), (where[event_id], live[event_id]))
-        for event_id in fresh:
+        self._remember(list(fresh), packs.keys())
+        yield from out
+
+    def _remember(self, ids: list[str], taken: Iterable[int]) -> None:
+        for no in sorted(set(range(MOST_PACKS)) - set(taken)):
+            if len(ids) < LEAST_PACK:
+                break
+            self.packs.updateValue((no,), (json.dumps(ids[:MOST_PACK]),))
+            ids = ids[MOST_PACK:]
+        for event_id in ids:
             self.seen.updateValue((event_id,), (True,))
-        yield pd.DataFrame(out, columns=OUT_COLUMNS)
 
     def close(self) -> None:
         pass
@@ -116,7 +145,7 @@ def arrival_window_stream(events: DataFrame, config: StateConfig | None = None)
         F.col("amount").cast(AMOUNT).alias("amount"),
         F.to_json(F.struct(*events.columns), PAYLOAD_TIMES).alias("payload"),
     )
-    answered = narrow.groupBy("user_id").transformWithStateInPandas(
+    answered = narrow.groupBy("user_id").transformWithState(
         statefulProcessor=ArrivalWindowProcessor(config or StateConfig()),
         outputStructType=OUT_SCHEMA,
         outputMode="Append",
@@ -133,6 +162,16 @@ def stored_state(spark: SparkSession, checkpoint: str, name: str) -> DataFrame:
     event_id, the value's fields, and ``expires_ms``, the wall-clock end of the entry's life
     (absent from state that lives for good). ``name`` is ``entries`` or ``seen``. Entries past
     their life are not there for the stream, whether or not they were swept already."""
+    rows = _stored_map(spark, checkpoint, name)
+    if name != "seen":
+        return rows
+    ids = F.explode(F.from_json("ids", "array<string>")).alias("event_id")
+    packs = _stored_map(spark, checkpoint, PACKS).withColumn("flag", F.lit(True))
+    packs = packs.select("user_id", ids, *rows.columns[2:])
+    return rows.unionByName(packs)
+
+
+def _stored_map(spark: SparkSession, checkpoint: str, name: str) -> DataFrame:
     state = (
         spark.read.format("statestore")
         .option("path", checkpoint)
@@ -140,7 +179,7 @@ def stored_state(spark: SparkSession, checkpoint: str, name: str) -> DataFrame:
         .load()
     )
     value = "user_map_value.value" if "value" in state.schema["user_map_value"].dataType.names else "user_map_value"
-    columns = ["key.user_id", "user_map_key.event_id", f"{value}.*"]
+    columns = ["key.user_id", "user_map_key.*", f"{value}.*"]
     if value != "user_map_value":
         columns.append("user_map_value.ttlExpirationMs as expires_ms")
     return state.selectExpr(*columns)

@@ -15,16 +15,21 @@ from collections.abc import Iterator
 from decimal import Decimal, getcontext
 from typing import Any
 
-import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.stateful_processor import ListState
 
 from ledgerwatch.functions.times import epoch_ms
 from ledgerwatch.schemas import AMOUNT
-from ledgerwatch.streaming.arrival_state import OUT_COLUMNS, OUT_SCHEMA, PAYLOAD_TIMES, StateConfig
+from ledgerwatch.streaming.arrival_state import (
+    OUT_ROW,
+    OUT_SCHEMA,
+    PAYLOAD_TIMES,
+    StateConfig,
+    in_order,
+)
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -56,9 +61,8 @@ class EventTimeProcessor(StatefulProcessor):
         self.answered = handle.getListState("answered", "pack string")
 
     def handleInputRows(
-        self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any
-    ) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["partition_no", "offset_no"])
+        self, key: Any, rows: Iterator[Row], timerValues: Any
+    ) -> Iterator[Row]:
         watermark = timerValues.getCurrentWatermarkInMs()
         waiting = self._read(self.waiting)
         known = self._read(self.answered)
@@ -66,11 +70,10 @@ class EventTimeProcessor(StatefulProcessor):
         known = sorted((ms, event_id, amount) for event_id, ms, amount in known)
         fresh, late, payloads = [], [], []
         out = []
-        for event_id, ms, amount, payload in batch[
-            ["event_id", "ms", "amount", "payload"]
-        ].itertuples(index=False, name=None):
+        for row in in_order(rows):
+            event_id, ms, amount, payload = row.event_id, row.ms, row.amount, row.payload
             if event_id in seen:
-                out.append((key[0], event_id, payload, None, None, True))
+                out.append(OUT_ROW(key[0], event_id, payload, None, None, True))
                 continue
             if ms >= watermark:
                 seen.add(event_id)
@@ -80,19 +83,18 @@ class EventTimeProcessor(StatefulProcessor):
                 seen.add(event_id)
                 late.append((event_id, ms, amount))
                 known.insert(bisect_right(known, ms, key=_at), (ms, event_id, amount))
-                out.append((key[0], event_id, payload, *self._window(known, ms), False))
+                out.append(OUT_ROW(key[0], event_id, payload, *self._window(known, ms), False))
         self._append(self.waiting, fresh)
         self._append(self.payloads, payloads)
         self._append(self.answered, late)
         first = min((ms for _, ms, _ in fresh), default=None)
         if first is not None and all(first < ms for _, ms, _ in waiting):
             self.handle.registerTimer(first)
-        if out:
-            yield pd.DataFrame(out, columns=OUT_COLUMNS)
+        yield from out
 
     def handleExpiredTimer(
         self, key: Any, timerValues: Any, expiredTimerInfo: Any
-    ) -> Iterator[pd.DataFrame]:
+    ) -> Iterator[Row]:
         end = max(timerValues.getCurrentWatermarkInMs() - 1, expiredTimerInfo.getExpiryTimeInMs())
         waiting = self._read(self.waiting)
         if not any(ms <= end for _, ms, _ in waiting):
@@ -102,7 +104,7 @@ class EventTimeProcessor(StatefulProcessor):
         rest = [row for row in both if row[0][1] > end]
         held = self._read(self.answered) + [own for own, _ in due]
         out = [
-            (key[0], event_id, payload, *window, False)
+            OUT_ROW(key[0], event_id, payload, *window, False)
             for ((event_id, _, _), payload), window in zip(due, self._windows(held, due), strict=True)
         ]
         # Whoever waits is not earlier than the last instant, and late ones see what is left.
@@ -116,7 +118,7 @@ class EventTimeProcessor(StatefulProcessor):
             self._append(state, values)
         if rest:
             self.handle.registerTimer(min(ms for (_, ms, _), _ in rest))
-        yield pd.DataFrame(out, columns=OUT_COLUMNS)
+        yield from out
 
     def _read(self, state: ListState) -> list:
         values = [value for (pack,) in state.get() for value in json.loads(pack)]
@@ -181,7 +183,7 @@ def event_time_window_stream(
         F.col("amount").cast(AMOUNT).alias("amount"),
         F.to_json(F.struct(*events.columns), PAYLOAD_TIMES).alias("payload"),
     )
-    answered = narrow.groupBy("user_id").transformWithStateInPandas(
+    answered = narrow.groupBy("user_id").transformWithState(
         statefulProcessor=EventTimeProcessor(config or StateConfig(), late),
         outputStructType=OUT_SCHEMA,
         outputMode="Append",
